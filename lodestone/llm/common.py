@@ -53,7 +53,7 @@ def range_of(key: Column, cuts: list) -> Column:
     inner = F.array(*[F.array(*[F.lit(x) for x in b]) for b in blocks])
     block = F.size(F.filter(outer, lambda c: c < key))
     within = F.size(F.filter(F.coalesce(F.get(inner, block), F.array().cast("array<bigint>")), lambda c: c < key))
-    return F.when(key.isNull(), F.lit(0)).otherwise(block * step + within)
+    return F.when(key.isNull(), F.lit(0)).otherwise(F.least(block * step + within, F.lit(len(cuts))))
 
 
 def arrow_rows(batches: Iterator, *names: str) -> Iterator[tuple]:

@@ -42,3 +42,34 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN
   CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
 FROM e
 """
+
+SQL["op5_site_lines"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents
+), p AS (
+  SELECT source, count(*) AS pages FROM documents GROUP BY source
+), c AS (
+  SELECT source, line, count(*) AS n FROM (SELECT source, unnest(list_distinct(list_filter(lines, lambda x: trim(x) <> ''))) AS line FROM d) GROUP BY ALL
+), b AS (
+  SELECT c.source, list(line) AS bad FROM c JOIN p ON c.source IS NOT DISTINCT FROM p.source WHERE n >= 5 AND n > CAST(0.1 AS DOUBLE) * pages GROUP BY c.source
+), k AS (
+  SELECT doc_id, lines, list_filter(lines, lambda x: NOT list_contains(coalesce(bad, []), x)) AS kept
+  FROM d LEFT JOIN b ON d.source IS NOT DISTINCT FROM b.source
+), t AS (
+  SELECT doc_id, coalesce(len(lines), 0) AS a, coalesce(len(kept), 0) AS b, coalesce(array_to_string(kept, chr(10)), '') AS text FROM k
+)
+SELECT doc_id, CAST(a AS BIGINT) AS n_lines, CAST(a - b AS BIGINT) AS n_dropped, CAST(length(text) AS BIGINT) AS n_kept_chars, sha256(text) AS kept_sha256 FROM t
+"""
+
+SQL["op8_exact_topk"] = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
