@@ -63,13 +63,13 @@ def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def resolve(pages: DataFrame) -> DataFrame:
-    """(page_id, digest, first_id) of pages whose payload more than one record has.
+    """(pid, digest, first_id) of pages whose payload more than one record has.
 
     Only digests and ids are shuffled, summed by digest before they move; the join
     back is by digest, whose hot values Spark splits.
     """
-    heads = pages.select("page_id", F.sha1("payload").alias("digest"))
-    firsts = heads.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
+    heads = pages.select("pid", "digest")
+    firsts = heads.groupBy("digest").agg(F.min("pid").alias("first_id"), F.count("*").alias("n")).where("n > 1")
     return heads.distinct().join(firsts.drop("n"), "digest")
 
 
@@ -82,28 +82,32 @@ def write_archives(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:
     their own and only those that a finished task names are read, so that a lost
     executor leaves no half archive in the result. Other columns are ignored.
     """
-    small_batches(pages.sparkSession, 500)
-    pages = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload"))
-    again = resolve(pages).select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "first_id")
-    rows = pages.withColumn("digest", F.sha1("payload"))
-    rows = rows.join(again, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left")
-    rows = rows.select("page_id", "url", "payload", "digest", "first_id", F.col("d").isNotNull().alias("shared"))
-    rows = rows.repartition(*([archives] if archives else []), "page_id", "digest").sortWithinPartitions("page_id", "digest", "url")
+    spark = pages.sparkSession
+    small_batches(spark, 500)
+    payload = F.encode(F.coalesce("html", F.lit("")), "utf-8")
+    pid = F.coalesce(F.col("page_id").cast("long"), F.lit((1 << 63) - 1))
+    again = resolve(pages.select(pid.alias("pid"), F.sha1(payload).alias("digest"))).withColumn("shared", F.lit(True))
+    # The payloads move once: the join is by what they are dealt by.
+    rows = pages.select("page_id", "url", payload.alias("payload"), pid.alias("pid"), F.sha1(payload).alias("digest"))
+    rows = rows.repartition(archives or int(spark.conf.get("spark.sql.shuffle.partitions")), "pid", "digest")
+    rows = rows.join(again, ["pid", "digest"], "left").sortWithinPartitions("pid", "digest", "url")
+    rows = rows.select("page_id", "url", "payload", "pid", "digest", "first_id", F.coalesce("shared", F.lit(False)).alias("shared"))
 
     def write(batches):
         fs, path = filesystem(folder)
         fs.create_dir(path, recursive=True)
         out, name, n, last = None, "", 0, None
         try:
-            for page_id, url, payload, digest, first, shared in arrow_rows(batches, "page_id", "url", "payload", "digest", "first_id", "shared"):
+            for page_id, url, payload, pid, digest, first, shared in arrow_rows(batches, "page_id", "url", "payload", "pid", "digest", "first_id", "shared"):
                 if out is None or out.tell() > ROLL:
                     if out is not None:
                         out.close()
                         yield name, n
                     name, n = f"{uuid.uuid4().hex}.warc.gz", 0
                     out = fs.open_output_stream(f"{path}/{name}", compression=None)
-                revisit = shared and (page_id != first or last == (page_id, digest))
-                last = page_id, digest
+                revisit = shared and (pid != first or last == (pid, digest))
+                last = pid, digest
+                first = page_id if pid == first else first
                 out.write(gzip.compress(record(page_id, url, payload, first, revisit, date), 6, mtime=0))
                 n += 1
         finally:
@@ -146,7 +150,8 @@ def read_archives(files: DataFrame, folder: str) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows)), strict=True)), schema=SCHEMA())
 
-    return files.select("file").repartition("file").mapInArrow(task, RECORDS)
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.select("file").repartition(n, "file").mapInArrow(task, RECORDS)
 
 
 def SCHEMA():
