@@ -19,6 +19,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.near_dups import classes
+
+    return classes(table(spark, sf_dir, "documents"))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.mixing import mix
 
@@ -61,7 +67,7 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_spotsigs, op2_quality, op4_source_mix, op5_site_lines, op6_tree_bpe, op7_token_store, op8_exact_topk, op10_warc_revisits)}
+    return {f.__name__: f for f in (op1_spotsigs, op2_quality, op3_order_minhash, op4_source_mix, op5_site_lines, op6_tree_bpe, op7_token_store, op8_exact_topk, op10_warc_revisits)}
 
 
 def oracle_sql() -> dict[str, str]:
