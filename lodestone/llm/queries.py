@@ -60,6 +60,12 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op9_merged_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.suffix import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
 def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.warc import deduplicate
 
@@ -67,7 +73,7 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_spotsigs, op2_quality, op3_order_minhash, op4_source_mix, op5_site_lines, op6_tree_bpe, op7_token_store, op8_exact_topk, op10_warc_revisits)}
+    return {f.__name__: f for f in (op1_spotsigs, op2_quality, op3_order_minhash, op4_source_mix, op5_site_lines, op6_tree_bpe, op7_token_store, op8_exact_topk, op9_merged_transforms, op10_warc_revisits)}
 
 
 def oracle_sql() -> dict[str, str]:
