@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import small_batches
-from lodestone.llm.token_store import ODD, SPACE
+from lodestone.llm.token_store import ODD, SPACE, byte_letters
 
 #: The vocabulary's words, white space spelled out.
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
@@ -20,13 +21,6 @@ NONE = 1 << 62
 KEPT_WORDS, KEPT_LENGTH = 1 << 19, 64
 
 
-def byte_letters() -> list[str]:
-    """The letter of each byte: printable Latin-1 stands for itself, the rest from U+0100 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
-
-
 class MergeTree:
     """Ranks of adjacent pairs at the leaves, the least (leftmost of equals) at the root."""
 
@@ -140,13 +134,19 @@ class Bpe:
         return " ".join([self.tokens[i] for i in ids if i in self.tokens])
 
 
+@functools.lru_cache(2)
+def bpe_of(path: str) -> Bpe:
+    """The worker's coder: its words stay known from task to task."""
+    return Bpe(path)
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids, decoded) of every whole text."""
 
     def task(batches):
         import pyarrow as pa
 
-        bpe = Bpe(path)
+        bpe = bpe_of(path)
         for batch in batches:
             ids = [bpe.encode(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
@@ -166,7 +166,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def task(batches):
         import pyarrow as pa
 
-        bpe = Bpe(path)
+        bpe = bpe_of(path)
         sha = lambda parts: hashlib.sha256(" ".join(parts).encode()).hexdigest()
         for batch in batches:
             n, ids, decoded = [], [], []

@@ -8,9 +8,12 @@ document by the index and one ranged read.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
+import re
 import struct
+import unicodedata
 import zlib
 
 from pyspark.sql import DataFrame
@@ -20,53 +23,99 @@ from lodestone.llm.common import arrow_rows, filesystem, key_cuts, range_of, sma
 from lodestone.plans.storage import fresh_dir, materialize
 
 MAGIC = b"LDTK0001"
-#: White space and letters as in the vocabulary's pattern, with white space spelled out.
+#: White space of the vocabulary's pattern, for engines whose own class differs.
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
-PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-#: Code points of which libraries' Unicode tables may differ: such texts are encoded whole.
-ODD = r"[ࡰ-ࣿఀ-೿ᲀ-᲏Ꟁ-ꟿ\U00010000-\U0010ffff]"
+#: The vocabulary's pattern for texts without ODD code points, where Python's classes agree with it.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 #: Words kept by a worker.
 KEPT_WORDS = 1 << 20
 
 
+def odd_points() -> str:
+    """A class of code points that engines class differently.
+
+    Control codes that only Python calls white space, numbers that are no decimal digits,
+    blocks to which Unicode still adds letters, and all beyond the first plane.
+    """
+    other = [i for i in range(0x10000) if unicodedata.category(chr(i)) in ("Nl", "No", "Cn")]
+    runs: list[list[int]] = []
+    for i in other:
+        if runs and runs[-1][1] == i - 1:
+            runs[-1][1] = i
+        else:
+            runs.append([i, i])
+    return r"[\x1c-\x1fᲀ-᲏Ꟁ-ꟿ\U00010000-\U0010ffff" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in runs) + "]"
+
+
+ODD = odd_points()
+#: Those of ODD that are ASCII.
+CONTROLS = "\x1c\x1d\x1e\x1f"
+
+
+def byte_letters() -> list[str]:
+    """The letter of each byte: printable Latin-1 stands for itself, the rest from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+
+
+class _Known(dict):
+    """Word -> ids, made when first asked for."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        self[word] = ids = self.make(word)
+        return ids
+
+
 class Encoder:
     """Ids of texts as little-endian u32 bytes, as the tokenizers library gives them.
 
     Words of the vocabulary's own pattern never share a token, so that the library
     encodes each distinct word once a worker; whole texts go to it where a special
-    token's string or a code point of unsettled class occurs.
+    token's string or an ODD code point occurs.
     """
 
     def __init__(self, path: str):
-        import re
-
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words = regex.compile(PATTERN).findall
+        self.words = re.compile(PATTERN).findall
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.odd = re.compile("|".join([*map(re.escape, special), ODD])).search
-        self.known: dict[str, bytes] = {}
+        self.special, self.model, self.letters = special, self.tokenizer.model, dict(enumerate(byte_letters()))
+        self.word = _Known(self.split).__getitem__
+
+    def split(self, word: str) -> bytes:
+        """Ids of one word of the pattern: the library's merges of its byte letters."""
+        ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
-        if self.odd(text):
+        if text.isascii():
+            odd = any([x in text for x in self.special]) or any([x in text for x in CONTROLS])
+        else:
+            odd = self.odd(text)
+        if odd:
             return self.whole(text)
-        known, words = self.known, self.words(text)
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            if len(known) > KEPT_WORDS:
-                known.clear()
-            for w in set(words).difference(known):
-                known[w] = self.whole(w)
-            return b"".join([known[w] for w in words])
+        return b"".join(map(self.word, self.words(text)))
+
+
+@functools.lru_cache(2)
+def encoder_of(path: str) -> Encoder:
+    """The worker's encoder: its words stay known from task to task."""
+    return Encoder(path)
 
 
 def train_dictionary(docs: DataFrame, path: str, samples: int = 500, longest: int = 50_000, size: int = 64 << 10, end: int = 0) -> bytes:
@@ -80,7 +129,7 @@ def train_dictionary(docs: DataFrame, path: str, samples: int = 500, longest: in
     order = F.xxhash64("doc_id")
     picked = [r[0] for r in docs.select("doc_id").where("doc_id is not null").orderBy(order, "doc_id").limit(samples).collect()]
     texts = docs.where(F.col("doc_id").isin(picked) & (F.length("text") <= longest)).select("text").limit(2 * samples).collect() if picked else []
-    encoder = Encoder(path)
+    encoder = encoder_of(path)
     ids = [encoder.encode(r[0]) + struct.pack("<I", end) for r in texts]
     try:
         return zstandard.train_dictionary(size, ids).as_bytes()
@@ -91,7 +140,10 @@ def train_dictionary(docs: DataFrame, path: str, samples: int = 500, longest: in
 def compressor(dictionary: bytes, level: int = 3):
     import zstandard
 
-    return zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None, write_checksum=False)
+    words = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+    if words:
+        words.precompute_compress(level=level)
+    return zstandard.ZstdCompressor(level=level, dict_data=words, write_checksum=False)
 
 
 def decompressor(dictionary: bytes):
@@ -146,7 +198,7 @@ def encode_frames(docs: DataFrame, path: str, dictionary: bytes, end: int = 0) -
     def task(batches):
         import pyarrow as pa
 
-        encoder, codec, tail = Encoder(path), compressor(dictionary), struct.pack("<I", end)
+        encoder, codec, tail = encoder_of(path), compressor(dictionary), struct.pack("<I", end)
         for batch in batches:
             raw = [encoder.encode(t or "") + tail for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(b) // 4 for b in raw], pa.int64()), pa.array([codec.compress(b) for b in raw], pa.binary())], ["doc_id", "n", "frame"])
@@ -224,7 +276,8 @@ def read_store(files: DataFrame, dictionary: bytes, folder: str) -> DataFrame:
                     "n_tokens": pa.array(reader.counts.astype("i8")), "ids_crc32": pa.array([zlib.crc32(reader.ids(k)) for k in range(n)], pa.int64()),
                 })
 
-    return starts(files).repartition("file").mapInArrow(task, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return starts(files).repartition(n, "file").mapInArrow(task, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def store(docs: DataFrame, path: str, folder: str | None = None, end: int = 0) -> DataFrame:
