@@ -138,3 +138,19 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.
     return taken.groupBy(*keys).agg(amount.alias("taken"), F.min("slot").alias("first_slot")).select(
         "doc_id", "size", "source_size", "target", "taken", "first_slot"
     )
+
+
+def blend(docs: DataFrame, broadcast_rows: int = 500_000, **options) -> DataFrame:
+    """docs as the mix takes them: each row as often as its taken words are to its own, rounded.
+
+    Only ids and amounts are joined to the rows; up to ``broadcast_rows`` of them by a
+    broadcast, so that the texts stay where they are. Rows of one id share what the id
+    takes; rows without words are not taken.
+    """
+    taken = mix(docs, **options).groupBy(F.col("doc_id").alias("__id")).agg(F.try_divide(F.sum("taken"), F.sum("size")).alias("__times"))
+    taken = materialize(taken.where("__times >= 0.5").withColumn("__times", F.floor(F.col("__times") + 0.5).cast("int")), "mix-taken")
+    if taken.count() <= broadcast_rows:
+        taken = F.broadcast(taken)
+    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")))
+    words = F.coalesce(F.regexp_like("text", F.lit(WORD)), F.lit(False))
+    return rows.where(words).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)

@@ -61,3 +61,16 @@ def test_schedule_is_even(spark):
 def test_empty(spark):
     assert mix(spark.createDataFrame([], SCHEMA)).count() == 0
     assert [r.taken for r in mix(spark.createDataFrame([(1, "", "a", "", ""), (2, None, None, "", "")], SCHEMA)).collect()] == [0, 0]
+
+
+def test_blend(spark):
+    from lodestone.llm.mixing import blend
+
+    rows = [(i, "w " * (i % 5), "ab"[i % 7 == 0], "x", "y") for i in range(300)] + [(None, "w w", "a", "", ""), (3, "w w w", "a", "", "")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for limit in (0, 1000):
+        got = blend(docs, broadcast_rows=limit).collect()
+        assert set(got) <= set(docs.collect()) and all(r.text.strip() for r in got)
+        words = sum(len(r.text.split()) for r in got)
+        assert abs(words / sum(len(r[1].split()) for r in rows) - 1.5) < 0.1
+    assert blend(docs.where("false")).count() == 0
