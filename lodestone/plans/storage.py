@@ -28,6 +28,25 @@ def materialize(df: DataFrame, label: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Workspace:
+    """Intermediate tables that go when the work on them is done."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        """materialize(), to be removed by close()."""
+        path = fresh_dir(self.spark, label)
+        self.paths.append(path)
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> None:
+        for path in self.paths:
+            drop_shared(self.spark, path)
+        self.paths.clear()
+
+
 def drop_shared(spark: SparkSession, path: str) -> None:
     """Remove a folder made by fresh_dir."""
     jvm = spark.sparkContext._jvm
