@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lodestone.llm.common import filesystem, key_cuts, range_of, small_batches
-from lodestone.plans.storage import fresh_dir, materialize
+from lodestone.plans.storage import Workspace, fresh_dir, materialize
 
 #: Bytes of an anchor. A window of the given width has the anchor with the least hash within it.
 GRAM = 32
 #: Bytes that a symbol of the transforms spans.
 SYMBOL = 4
 #: Bytes of pieces merged in one task; of pieces of one key from which they are dealt by more of their bytes.
-BUCKET, HOT = 1 << 20, 2 << 20
+BUCKET, HOT = 1 << 19, 1 << 20
 SHARDS = 4
 #: Windows of a piece at most.
 LONGEST = 4096
@@ -150,6 +150,24 @@ def grams(text: bytes) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _over(x: np.ndarray, n: int, pick) -> np.ndarray:
+    """pick (minimum or maximum) of each n neighbours."""
+    size = 1
+    while 2 * size <= n:
+        x, size = pick(x[:-size], x[size:]), 2 * size
+    return pick(x[: len(x) - (n - size)], x[n - size :]) if size < n else x
+
+
+def anchors(text: bytes, width: int) -> np.ndarray:
+    """Hashes of the anchors of the text's windows, each place of an anchor once."""
+    if len(text) < width:
+        return np.zeros(0, np.uint64)
+    h, n = grams(text), width - GRAM + 1
+    rim = np.zeros(n - 1, np.uint64)
+    # A place is an anchor's if the greatest of the least hashes of the windows over it is its own.
+    return h[_over(np.concatenate([rim, _over(h, n, np.minimum), rim]), n, np.maximum) == h]
+
+
 def runs(text: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, first window, windows) of the runs of windows whose least gram hash is the same.
 
@@ -157,11 +175,7 @@ def runs(text: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """
     if len(text) < width:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    least, n, size = grams(text), width - GRAM + 1, 1
-    while 2 * size <= n:
-        least, size = np.minimum(least[:-size], least[size:]), 2 * size
-    if size < n:
-        least = np.minimum(least[: len(least) - (n - size)], least[n - size :])
+    least = _over(grams(text), width - GRAM + 1, np.minimum)
     start = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
     length = np.diff(np.append(start, len(least)))
     if length.max() > LONGEST:
@@ -171,7 +185,7 @@ def runs(text: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return least[start], start, length
 
 
-PIECES = "doc long, start long, size int, key long, d1 long, d2 long, piece binary, core int, core_end int"
+PIECES = "doc long, start long, size int, key long, d1 long, d2 long, piece binary, core int, core_end int, spots int"
 
 
 class _Pieces:
@@ -190,11 +204,28 @@ class _Pieces:
         for column, x in zip(self.rows, (doc, start, len(piece), key, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), piece if new else None, core, core_end), strict=True):
             column.append(x)
 
+    def spots(self) -> list[int | None]:
+        """How often its anchor stands in each new piece; 2 for pieces of other keys."""
+        keys, pieces, cores = self.rows[3], self.rows[6], self.rows[7]
+        new = [i for i, p in enumerate(pieces) if p is not None]
+        out: list[int | None] = [None] * len(pieces)
+        if new:
+            size = np.array([len(pieces[i]) for i in new])
+            h = grams(b"".join([pieces[i] for i in new])).view(np.int64)
+            own = np.repeat(np.array([keys[i] for i in new], np.int64), size)[: len(h)] == h
+            ends = np.cumsum(size)
+            for k in range(1, GRAM):  # runs over a piece's end
+                own[(ends - k)[ends - k < len(own)]] = False
+            count = np.add.reduceat(np.append(own, False).astype(np.int64), ends - size)
+            for i, n in zip(new, count.tolist(), strict=True):
+                out[i] = n if cores[i] < 0 else 2
+        return out
+
     def batch(self):
         import pyarrow as pa
 
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32()]
-        out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(self.rows, kinds, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32()]
+        out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([*self.rows, self.spots()], kinds, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
         self.rows = [[] for _ in range(9)]
         return out
 
@@ -220,9 +251,9 @@ def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 def candidate_pieces(docs: DataFrame, width: int) -> DataFrame:
-    """PIECES of (doc, text): the runs of windows whose anchor occurs in another run too.
+    """PIECES of (doc, text): the runs of windows whose anchor stands in another place too.
 
-    A window whose anchor no other run has is no copy of anything, so nothing else is
+    A window whose anchor stands nowhere else is no copy of anything, so nothing else is
     left out. Anchors are counted in each batch before they are shuffled.
     """
     spark = docs.sparkSession
@@ -232,14 +263,14 @@ def candidate_pieces(docs: DataFrame, width: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            found = [runs((t or "").encode(), width)[0] for t in batch.column("text").to_pylist()]
+            found = [anchors((t or "").encode(), width) for t in batch.column("text").to_pylist()]
             key, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
 
-    anchors = docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
+    places = docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
     folder = fresh_dir(spark, "suffix-anchors")
-    anchors.select("key").write.parquet(folder)
-    anchors = spark.read.schema("key long").parquet(folder)
+    places.select("key").write.parquet(folder)
+    places = spark.read.schema("key long").parquet(folder)
 
     def cut(batches, known_of):
         for batch in batches:
@@ -254,7 +285,7 @@ def candidate_pieces(docs: DataFrame, width: int) -> DataFrame:
                     out.add(doc, a, raw[a : a + int(n[j]) + width - 1], int(key[j]), -1, -1)
             yield out.batch()
 
-    if anchors.count() <= LISTED:
+    if places.count() <= LISTED:
         run = uuid.uuid4().hex
         task = lambda batches: cut(batches, lambda batch, i: _listed(folder, run))
         return docs.select("doc", "text").mapInArrow(task, PIECES)
@@ -268,7 +299,7 @@ def candidate_pieces(docs: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(np.concatenate([np.zeros(0, np.int64), *keys]))], ["doc", "key"])
 
     small_batches(spark, 500)
-    own = docs.select("doc", "text").mapInArrow(pairs, "doc long, key long").join(anchors, "key", "left_semi")
+    own = docs.select("doc", "text").mapInArrow(pairs, "doc long, key long").join(places, "key", "left_semi")
     own = own.groupBy("doc").agg(F.array_sort(F.collect_list("key")).alias("keys"))
     task = lambda batches: cut(batches, lambda batch, i: np.array(batch.column("keys")[i].as_py(), np.int64))
     return docs.select("doc", "text").join(own, "doc").mapInArrow(task, PIECES)
@@ -310,7 +341,7 @@ def divide(pieces: DataFrame, width: int) -> DataFrame:
 
 
 def repeats(docs: DataFrame, width: int = 100) -> DataFrame:
-    """(doc, a, b): ranges of bytes of (doc, text) that windows with an earlier copy cover.
+    """(doc, spans): ranges (a, b) of bytes of (doc, text) that windows with an earlier copy cover.
 
     Equal pieces come together first, the earliest standing for all: the others are
     copies whole. The different pieces of a key go to one task, which merges the
@@ -320,34 +351,45 @@ def repeats(docs: DataFrame, width: int = 100) -> DataFrame:
     """
     if width % SYMBOL or width < 2 * GRAM:
         raise ValueError(f"width must be a multiple of {SYMBOL}, {2 * GRAM} at least")
+    work = Workspace(docs.sparkSession)
+    try:
+        return materialize(_repeats(docs, width, work), "suffix-spans")
+    finally:
+        work.close()
+
+
+def _repeats(docs: DataFrame, width: int, work: Workspace) -> DataFrame:
     small_batches(docs.sparkSession, 500)
-    pieces = materialize(candidate_pieces(docs, width), "suffix-pieces")
+    pieces = work.keep(candidate_pieces(docs, width), "suffix-pieces")
     found = []
     while True:
         unique = pieces.groupBy("d1", "d2").agg(
-            F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n"), F.max("piece").alias("piece"), F.min("key").alias("key"), F.min("core").alias("core"), F.min("core_end").alias("core_end")
+            F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n"), F.max("piece").alias("piece"), F.min("key").alias("key"), F.min("core").alias("core"), F.min("core_end").alias("core_end"), F.max("spots").alias("spots"),
+            F.max("size").cast("long").alias("bytes"),
         )
-        unique = materialize(unique.select("d1", "d2", "first.*", "n", "piece", "key", "core", "core_end"), "suffix-unique")
+        unique = work.keep(unique.select("d1", "d2", "first.*", "n", "piece", "key", "core", "core_end", "spots", "bytes"), "suffix-unique")
         firsts = unique.where("n > 1").select("d1", "d2", F.col("doc").alias("d"), F.col("start").alias("s"))
         later = pieces.join(firsts, ["d1", "d2"]).where("doc <> d or start <> s")
         found.append(later.select("doc", F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b")))
-        weights = unique.groupBy("key").agg(F.sum(F.length("piece")).alias("bytes"), F.count("*").alias("n"))
-        hot = materialize(weights.where((F.col("bytes") > HOT) & (F.col("n") > 1)).select("key"), "suffix-hot")
+        # A piece alone under its key, with one anchor in it, has no window twice.
+        weights = unique.groupBy("key").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"), F.max("spots").alias("most"))
+        weights = work.keep(weights.where("n > 1 or most > 1").select("key", (F.col("bytes") > HOT).alias("hot"), "n", "bytes"), "suffix-keys")
+        hot = weights.where("hot and n > 1").select("key")
         columns = ["doc", "start", "piece", "key", "core", "core_end"]
-        cold = unique.select(*columns).join(hot, "key", "left_anti")
-        found.append(_merged(cold, width))
+        cold = weights.where("not hot or n = 1")
+        total = cold.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+        found.append(_merged(unique.select(*columns).join(cold.select("key"), "key", "left_semi"), total, width))
         if hot.isEmpty():
             break
-        pieces = materialize(divide(unique.select(*columns).join(hot, "key", "left_semi").select(*columns), width), "suffix-pieces")
+        pieces = work.keep(divide(unique.select(*columns).join(hot, "key", "left_semi").select(*columns), width), "suffix-pieces")
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
-    return out
+    return out.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"))
 
 
-def _merged(pieces: DataFrame, width: int) -> DataFrame:
-    """(doc, a, b) of the windows of the pieces that the merged transforms show to have an earlier copy."""
-    total = pieces.agg(F.coalesce(F.sum(F.length("piece")), F.lit(0))).first()[0]
+def _merged(pieces: DataFrame, total: int, width: int) -> DataFrame:
+    """(doc, a, b) of the windows of the pieces, ``total`` bytes, that the merged transforms show to have an earlier copy."""
     buckets = max(1, -(-total // BUCKET))
     rows = pieces.select("doc", "start", "piece", F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"))
 
@@ -402,8 +444,7 @@ def dedup(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_col: s
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     docs, copies = _numbered(docs)
-    spans = repeats(docs, width).groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    rows = docs.join(spans, "doc", "left").select("doc_id", "text", "spans")
+    rows = docs.join(repeats(docs, width), "doc", "left").select("doc_id", "text", "spans")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.octet_length("text").cast("long").alias("b")))
     rows = rows.unionByName(copies.select("doc_id", "text", F.when(F.octet_length("text") >= width, whole).alias("spans")))
 

@@ -84,3 +84,14 @@ def test_ties_nulls_empty(spark):
     rows = [(1, long), (1, long), (1, long + "!"), (None, long), (None, None), (0, "a"), (2, long[:150])]
     docs = spark.createDataFrame([(i, t, "", "", "") for i, t in rows], SCHEMA)
     assert sorted(map(tuple, m.digests(docs).collect()), key=str) == brute(rows)
+
+
+def test_repeats_within_one_piece(spark):
+    """A text that repeats itself, and nothing else, has no second piece under its anchors."""
+    r = random.Random(3)
+    line = "".join(r.choice("abcdefgh ") for _ in range(45))
+    texts = [line * 4, "q" * 250, ("xy" * 7 + "z") * 20, "".join(r.choice("klmn") for _ in range(400))]
+    docs = spark.createDataFrame([(i, t, "", "", "") for i, t in enumerate(texts)], SCHEMA)
+    want = brute(list(enumerate(texts)))
+    assert [w[2] > 0 for w in want] == [True, True, True, False]
+    assert sorted(map(tuple, m.digests(docs).collect()), key=str) == want
