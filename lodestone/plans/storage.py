@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,6 +29,11 @@ def materialize(df: DataFrame, label: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df`` to be broadcast if it has ``most`` rows at most; beyond, Spark chooses another join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 class Workspace:
     """Intermediate tables that go when the work on them is done."""
 
