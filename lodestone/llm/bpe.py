@@ -18,7 +18,7 @@ from lodestone.llm.token_store import ODD, SPACE, byte_letters
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
 NONE = 1 << 62
 #: Words kept by a worker; the longest that are.
-KEPT_WORDS, KEPT_LENGTH = 1 << 19, 64
+KEPT_WORDS, KEPT_LENGTH = 3 << 17, 64
 
 
 class MergeTree:
