@@ -24,7 +24,7 @@ from lodestone.plans.storage import fresh_dir, materialize
 
 MAGIC = b"LDTK0001"
 #: White space of the vocabulary's pattern, for engines whose own class differs.
-SPACE = r"\t-\r\x20\x85\xa0  -     　"
+SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The vocabulary's pattern for texts without ODD code points, where Python's classes agree with it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 #: Words kept by a worker.
@@ -44,7 +44,7 @@ def odd_points() -> str:
             runs[-1][1] = i
         else:
             runs.append([i, i])
-    return r"[\x1c-\x1fᲀ-᲏Ꟁ-ꟿ\U00010000-\U0010ffff" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in runs) + "]"
+    return r"[\x1c-\x1f\u1c80-\u1c8f\ua7c0-\ua7ff\U00010000-\U0010ffff" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in runs) + "]"
 
 
 ODD = odd_points()
