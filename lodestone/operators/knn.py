@@ -32,8 +32,9 @@ def nearest(chunks: DataFrame, queries: DataFrame, k: int, prefix: str | None =
     The queries are a small table beside the chunks, met by each chunk where it is; only
     each query's best are shuffled. With a prefix, ``compat`` takes it from the 4k
     nearest and may give fewer than k, ``exact`` from all. Equal ones go by chunk_id.
+    Chunks without a vector are left out.
     """
-    rows = chunks.select("chunk_id", "file_path", "embedding")
+    rows = chunks.select("chunk_id", "file_path", "embedding").where("embedding is not null")
     inside = F.lit(True) if not prefix else F.col("file_path").startswith(prefix)
     if prefix and prefix_mode == "exact":
         rows = rows.where(inside)

@@ -148,14 +148,14 @@ def lexical_search(spark, sf):
 
 
 def rrf_fusion(spark, sf):
-    chunks, queries = doc_chunks(spark, sf).where("embedding is not null"), both_queries(spark, sf)
+    chunks, queries = doc_chunks(spark, sf), both_queries(spark, sf)
     rows = fusion.fuse(knn.nearest(chunks, queries, 20), fulltext.bm25(chunks, queries, fields=TEXT).where("fts_rank <= 20"))
     rows = rows.select("query_id", "chunk_id", "similarity", "vec_rank", "bm25_norm", "fts_rank", T.rrf(F.col("vec_rank"), F.col("fts_rank")).alias("rrf"))
     return _six(rows, "similarity", "bm25_norm", "rrf")
 
 
 def _hybrid(spark, sf, edges=None, **options):
-    chunks = doc_chunks(spark, sf).where("embedding is not null")
+    chunks = doc_chunks(spark, sf)
     return fusion.hybrid_search(chunks, both_queries(spark, sf), edges, {"weight_graph": 0 if edges is None else 1.0, **options}, threshold=0.05, fields=TEXT)
 
 
