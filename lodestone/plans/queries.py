@@ -75,8 +75,8 @@ def doc_defs(spark, sf) -> DataFrame:
 
 
 def doc_refs(spark, sf) -> DataFrame:
-    """Words of nine letters or more as references."""
-    words = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("content"), F.lit(r"(\p{L}+)"), F.lit(1)), lambda w: w.rlike("^[a-z]{9,}$")))
+    """Words of five letters or more as references."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(r"(\p{L}{5,})"), F.lit(1)))
     return doc_files(spark, sf).select("file_path", F.explode(words).alias("name"))
 
 

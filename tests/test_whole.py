@@ -28,3 +28,37 @@ def test_full_text_sees_documents_without_a_vector(spark, partly):
     assert all(r.vec_rank is None for r in fused if r.chunk_id >= 6)
     for query in (Q.hybrid_search, Q.hybrid_debug):
         assert {6, 8} <= {r.chunk_id for r in query(spark, partly).collect() if r.query_id == 1}
+
+
+LINES = ["alpha gamma\nbravo alpha été", "bravo élève\nalpha hotel bravo", "gamma alpha\nabcd bravo", "abcd gamma\nabcd hotel", "lonely"]
+
+
+def brute_edges(texts):
+    """(src, dst) -> weight of files by words of five letters or more, each shared by the files with a line that starts with it."""
+    import re
+    from collections import defaultdict
+
+    path = lambda i: f"web/en/{i}.{('ts', 'md', 'test.ts', 'json', 'py')[i % 5]}"
+    definers, edges = defaultdict(set), defaultdict(float)
+    for i, t in enumerate(texts):
+        for line in t.lower().split("\n"):
+            if m := re.match("[a-z]+", line):
+                definers[m[0]].add(i)
+    for i, t in enumerate(texts):
+        for w in {w for w in re.findall(r"[^\W\d_]+", t.lower()) if len(w) >= 5}:
+            for j in definers[w] - {i}:
+                edges[path(i), path(j)] += 1 / len(definers[w])
+    return dict(edges)
+
+
+@pytest.fixture(scope="module")
+def linked(spark, tmp_path_factory):
+    return write(spark, tmp_path_factory.mktemp("whole") / "linked", LINES)
+
+
+def test_references_have_five_letters(spark, linked):
+    assert {r.name for r in Q.doc_refs(spark, linked).collect()} == {"alpha", "gamma", "bravo", "hotel", "élève", "lonely"}
+    want = brute_edges(LINES)
+    got = {(r.src, r.dst): r.weight for r in Q.file_graph_raw(spark, linked).collect()}
+    assert got == pytest.approx(want, abs=1e-6) and len(want) > 4
+    assert {(r.src, r.dst) for r in Q.file_graph_binary(spark, linked).collect()} == set(want)
