@@ -9,7 +9,7 @@ from lodestone.functions import fixed as V
 from lodestone.functions import globs, text as T
 from lodestone.operators import chunking, fulltext, fusion, graph, knn, lookup, route, stats, symbols
 from lodestone.plans.fixtures import CODE, COMMANDS, DIRECTORIES, FTS_QUERIES, PATHS, REQUESTS, SENTENCES
-from lodestone.plans.storage import fresh_dir
+from lodestone.plans.storage import fresh_dir, materialize
 from lodestone.sources import files as S
 from lodestone.sources import snapshot as N
 from lodestone.sources.embedding import HashEmbedder, embed_column
@@ -274,28 +274,25 @@ def file_graph_max_definers(spark, sf):
     return _graph(spark, sf, "raw", 5)
 
 
-def _nation_graph(spark, sf):
-    """Nations linked by the customers' and suppliers' orders: a graph of fixed size at any scale."""
-    c = table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("src"))
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
-    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("dst"))
-    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey").join(o, "l_orderkey").join(c, "c_custkey").join(s, "l_suppkey")
-    return rows.where("src <> dst and (ascii(substring(src, 2, 1)) + ascii(substring(dst, 2, 1))) % 3 = 0 and dst not like 'n2%'").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+def _seeds(spark, sf):
+    """Each text query's best files."""
+    return graph.top_seeds(fulltext.lexical_search(doc_chunks(spark, sf), text_queries(spark), fields=TEXT), V.DEFAULTS["search"]["hybrid"]["graph_seeds"])
 
 
-def _seeds(spark):
-    return spark.createDataFrame([(0, "n1", 1.0), (0, "n7", 3.0), (1, "n20", 2.0), (2, "nowhere", 1.0)], "query_id int, node string, score double")
+def _ranks(spark, sf, seeds):
+    return graph.pagerank(graph.file_graph(doc_refs(spark, sf), doc_defs(spark, sf)), seeds)
 
 
 def ppr(spark, sf):
-    return graph.pagerank(_nation_graph(spark, sf), _seeds(spark)).withColumn("ppr", F.round("ppr", 4))
+    return _ranks(spark, sf, _seeds(spark, sf)).withColumn("ppr", F.round("ppr", 4))
 
 
 def graph_expand(spark, sf):
-    ranks = graph.pagerank(_nation_graph(spark, sf), _seeds(spark)).join(_seeds(spark).select("query_id", "node"), ["query_id", "node"], "left_anti").where("ppr >= 0.05")
+    seeds = materialize(_seeds(spark, sf), "expand-seeds")
+    ranks = _ranks(spark, sf, seeds).join(seeds.select("query_id", "node"), ["query_id", "node"], "left_anti").where("ppr >= 0.05")
     from pyspark.sql.window import Window as W
 
-    nth = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("ppr"), "node"))
+    nth = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("ppr", 9)), "node"))
     return ranks.withColumn("nth", nth).where("nth <= 3").select("query_id", "node", "nth", F.round("ppr", 4).alias("ppr"))
 
 

@@ -62,3 +62,35 @@ def test_references_have_five_letters(spark, linked):
     got = {(r.src, r.dst): r.weight for r in Q.file_graph_raw(spark, linked).collect()}
     assert got == pytest.approx(want, abs=1e-6) and len(want) > 4
     assert {(r.src, r.dst) for r in Q.file_graph_binary(spark, linked).collect()} == set(want)
+
+
+RANKED = ["alpha gamma thing\nbravo alpha", "bravo edble\nalpha hotel thing", "gamma alpha\nthing bravo", "hotel gamma\nabcd hotel thing", "lonely", "edble alpha\nlonely gamma"]
+
+
+def brute_ranks(edges, seeds):
+    out, rank = {}, dict(seeds)
+    for (src, _), w in edges.items():
+        out[src] = out.get(src, 0) + w
+    for _ in range(20):
+        lost = sum(r for n, r in rank.items() if n not in out)
+        after = {n: p * (0.15 + 0.85 * lost) for n, p in seeds.items()}
+        for (src, dst), w in edges.items():
+            if src in rank:
+                after[dst] = after.get(dst, 0) + 0.85 * rank[src] * w / out[src]
+        rank = after
+    return {n: r / max(rank.values()) for n, r in rank.items() if r > 0}
+
+
+def test_ranks_are_of_the_file_graph(spark, tmp_path):
+    sf = write(spark, tmp_path / "ranked", RANKED)
+    edges, seeds = brute_edges(RANKED), {}
+    for r in Q._seeds(spark, sf).collect():
+        seeds.setdefault(r.query_id, {})[r.node] = r.score
+    want, more = {}, set()
+    for q, of in seeds.items():
+        ranks = brute_ranks(edges, {n: s / sum(of.values()) for n, s in of.items()})
+        want |= {(q, n): p for n, p in ranks.items()}
+        more |= {(q, n) for n, _ in sorted(((n, p) for n, p in ranks.items() if n not in of and p >= 0.05), key=lambda x: (-round(x[1], 9), x[0]))[:3]}
+    got = {(r.query_id, r.node): r.ppr for r in Q.ppr(spark, sf).collect()}
+    assert got == pytest.approx(want, abs=1e-4) and len(want) > 6
+    assert {(r.query_id, r.node) for r in Q.graph_expand(spark, sf).collect()} == more and more
