@@ -169,7 +169,7 @@ def hybrid_debug(spark, sf):
 
 
 def hybrid_graph(spark, sf):
-    edges = graph.file_graph(doc_refs(spark, sf), doc_defs(spark, sf), "binary", 20)
+    edges = graph.file_graph(doc_refs(spark, sf), doc_defs(spark, sf))
     return _six(_hybrid(spark, sf, edges), "similarity", "score")
 
 

@@ -94,3 +94,11 @@ def test_ranks_are_of_the_file_graph(spark, tmp_path):
     got = {(r.query_id, r.node): r.ppr for r in Q.ppr(spark, sf).collect()}
     assert got == pytest.approx(want, abs=1e-4) and len(want) > 6
     assert {(r.query_id, r.node) for r in Q.graph_expand(spark, sf).collect()} == more and more
+
+
+def test_hybrid_graph_has_names_of_many_files(spark, tmp_path):
+    texts = [f"alpha words\nthing {'edble ' * (i % 4)}and number{i}" for i in range(25)]
+    sf = write(spark, tmp_path / "many", texts, [(i, [float(i % 7), 1.0], 0) for i in range(25)])
+    edges = spark.createDataFrame([(*k, w) for k, w in brute_edges(texts).items()], "src string, dst string, weight double")
+    pick = lambda rows: sorted((r.query_id, r.rank, r.chunk_id, round(r.score, 6)) for r in rows.collect())
+    assert pick(Q.hybrid_graph(spark, sf)) == pick(Q._hybrid(spark, sf, edges)) != pick(Q.hybrid_search(spark, sf))
