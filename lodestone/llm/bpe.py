@@ -110,16 +110,13 @@ class Bpe:
             else:
                 part = part if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ")
                 known, words = self.known, self.words(part.lower())
-                for w in set(words).difference(known):
-                    made = self.piece("".join([self.letters[b] for b in w.encode()]))
-                    if len(known) >= KEPT_WORDS:
-                        known.clear()
-                        return self.pieces(text)
-                    known[w] = made
-                found += [known[w] for w in words]
-                if any(len(w) > KEPT_LENGTH for w in words):
-                    for w in {w for w in words if len(w) > KEPT_LENGTH}:
-                        del known[w]
+                own = {w: self.piece("".join([self.letters[b] for b in w.encode()])) for w in set(words).difference(known)}
+                found += [own[w] if w in own else known[w] for w in words] if own else [known[w] for w in words]
+                kept = {w: p for w, p in own.items() if len(w) <= KEPT_LENGTH}
+                if len(known) + len(kept) > KEPT_WORDS:
+                    known.clear()
+                if len(kept) <= KEPT_WORDS:
+                    known.update(kept)
         return [x for x in found if x[0]]
 
     def piece(self, letters: str) -> tuple[int, str, str]:

@@ -73,3 +73,14 @@ def test_query(spark, library):
     got = encode(docs.where("doc_id > 0"), PATH).collect()
     assert all(r.ids == library.encode(rows[r.doc_id][1], add_special_tokens=False).ids for r in got)
     assert digests(docs.where("false"), PATH).count() == 0
+
+
+def test_text_of_more_words_than_are_kept(library, monkeypatch):
+    from lodestone.llm import bpe as module
+
+    monkeypatch.setattr(module, "KEPT_WORDS", 50)
+    b = Bpe(PATH)
+    many = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300))
+    for t in (many, f"{many}<|endoftext|>{many[:400]}", "some few words", many):
+        assert b.encode(t) == library.encode(t, add_special_tokens=False).ids
+        assert len(b.known) <= 50
