@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from lodestone.llm.common import key_cuts, range_of
+from lodestone.llm.common import constant, key_cuts, range_of
 
 #: Anchors: common words of the four languages of the corpus.
 ANCHORS = (
@@ -87,7 +87,7 @@ def with_next(docs: DataFrame, key: str, carried: list[str], rows_per_range: int
     own = F.struct(at.alias("range"), F.lit(False).alias("extra"))
     copies = F.array(own)
     if cuts:
-        copies = F.when(F.coalesce(F.col(key).isin(cuts) & (F.col(key) < most), F.lit(False)), F.array(own, F.struct((at + 1).alias("range"), F.lit(True).alias("extra")))).otherwise(copies)
+        copies = F.when(F.coalesce((F.get(constant(cuts), at) == F.col(key)) & (F.col(key) < most), F.lit(False)), F.array(own, F.struct((at + 1).alias("range"), F.lit(True).alias("extra")))).otherwise(copies)
     wrap = F.array(F.struct(F.lit(0).alias("range"), F.lit(True).alias("extra")))
     last = F.lit(True) if most is None else F.col(key) == most
     copies = F.when(F.coalesce(last, F.lit(False)), F.concat(copies, wrap)).otherwise(copies)

@@ -4,6 +4,10 @@ File: MAGIC, u32 header length, header (JSON: dictionary SHA-256, documents, ids
 length), the index (zstandard: deltas of doc ids, id counts and frame lengths), then a
 zstandard frame a document of its ids as little-endian u32. A reader fetches one short
 document by the index and one ranged read.
+
+Folder: the token files, ``<SHA-256>.zdict`` (the dictionary that files name by that
+hash; none is written for an empty one) and ``manifest``, a Parquet table of the files
+that count, written last. The folder alone is enough to read every document.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import arrow_rows, filesystem, key_cuts, range_of, small_batches
-from lodestone.plans.storage import fresh_dir, materialize
+from lodestone.plans.storage import fresh_dir
 
 MAGIC = b"LDTK0001"
 #: White space of the vocabulary's pattern, for engines whose own class differs.
@@ -127,10 +131,11 @@ def train_dictionary(docs: DataFrame, path: str, samples: int = 500, longest: in
     import zstandard
 
     order = F.xxhash64("doc_id")
-    picked = [r[0] for r in docs.select("doc_id").where("doc_id is not null").orderBy(order, "doc_id").limit(samples).collect()]
-    texts = docs.where(F.col("doc_id").isin(picked) & (F.length("text") <= longest)).select("text").limit(2 * samples).collect() if picked else []
+    fits = docs.where(F.col("doc_id").isNotNull() & (F.length("text") <= longest))
+    picked = [r[0] for r in fits.select("doc_id").orderBy(order, "doc_id").limit(samples).collect()]
+    texts = fits.where(F.col("doc_id").isin(picked)).select("doc_id", "text").orderBy("doc_id", F.xxhash64("text")).limit(2 * samples).collect() if picked else []
     encoder = encoder_of(path)
-    ids = [encoder.encode(r[0]) + struct.pack("<I", end) for r in texts]
+    ids = [encoder.encode(r.text) + struct.pack("<I", end) for r in texts]
     try:
         return zstandard.train_dictionary(size, ids).as_bytes()
     except zstandard.ZstdError:
@@ -207,21 +212,53 @@ def encode_frames(docs: DataFrame, path: str, dictionary: bytes, end: int = 0) -
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, n long, frame binary")
 
 
-def write_store(docs: DataFrame, path: str, folder: str, end: int = 0, file_docs: int = 8192) -> tuple[DataFrame, bytes]:
-    """Write ``docs`` (doc_id, text) in ascending doc_id order; returns (files, dictionary).
+def dictionary_path(folder: str, sha: str) -> str:
+    return f"{folder}/{sha}.zdict"
+
+
+def put_dictionary(folder: str, dictionary: bytes) -> str:
+    """Write the dictionary below its hash, which is returned; an empty one needs no file."""
+    sha = hashlib.sha256(dictionary).hexdigest()
+    if dictionary:
+        fs, to = filesystem(dictionary_path(folder, sha))
+        fs.create_dir(to.rpartition("/")[0], recursive=True)
+        with fs.open_output_stream(to, compression=None) as out:
+            out.write(dictionary)
+    return sha
+
+
+@functools.lru_cache(4)
+def get_dictionary(folder: str, sha: str) -> bytes:
+    """The dictionary of that hash, as the store's folder has it."""
+    if sha == hashlib.sha256(b"").hexdigest():
+        return b""
+    fs, path = filesystem(dictionary_path(folder, sha))
+    with fs.open_input_stream(path, compression=None) as stream:
+        dictionary = stream.read()
+    if hashlib.sha256(dictionary).hexdigest() != sha:
+        raise ValueError(f"{path} is not the dictionary of its name")
+    return dictionary
+
+
+FILES = "part long, nth long, file string, documents long, ids long, least_id long, most_id long, dictionary string"
+
 
-    files: (part, file, documents, ids), ``part`` being the file's place in the order.
-    Null texts are empty documents; null ids come first, equal ids in the order of their
-    ids' bytes. Ids are range-cut by quantiles of doc_id, so that the texts are encoded
-    once and only frames are shuffled. An empty table gives no file. Each attempt writes
-    files of its own; only those that finished tasks name count.
+def write_store(docs: DataFrame, path: str, folder: str, end: int = 0, file_docs: int = 8192) -> DataFrame:
+    """Write ``docs`` (doc_id, text) in ascending doc_id order; returns the manifest, FILES.
+
+    A row a file, ``part`` and ``nth`` being its place in the order. Null texts are empty
+    documents; null ids come first, equal ids in the order of their ids' bytes. Ids are
+    range-cut by quantiles of doc_id, so that the texts are encoded once and only frames
+    are shuffled, a range to a task. An empty table gives no file; other columns are
+    ignored. Each attempt writes files of its own; only those that the manifest names count.
     """
     import uuid
 
     dictionary = train_dictionary(docs, path, end=end)
+    sha = put_dictionary(folder, dictionary)
     cuts = key_cuts(docs, "doc_id", file_docs)
     rows = encode_frames(docs, path, dictionary, end).withColumn("part", range_of(F.col("doc_id"), cuts).cast("long"))
-    rows = rows.repartition(max(1, len(cuts) + 1), "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "n", "frame")
+    rows = rows.repartitionById(len(cuts) + 1, F.col("part").cast("int")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "n", "frame")
 
     def task(batches):
         import pyarrow as pa
@@ -233,7 +270,9 @@ def write_store(docs: DataFrame, path: str, folder: str, end: int = 0, file_docs
             name = f"{uuid.uuid4().hex}.ldtk"
             with fs.open_output_stream(f"{to}/{name}", compression=None) as out:
                 out.write(pack_file(rows, dictionary))
-            return pa.RecordBatch.from_pydict({"part": [part], "nth": [nth], "file": [name], "documents": [len(rows)], "ids": [sum(n for _, n, _ in rows)]})
+            known = [i for i, _, _ in rows if i is not None] or [None]
+            row = (part, nth, name, len(rows), sum(n for _, n, _ in rows), known[0], known[-1], sha)
+            return pa.RecordBatch.from_arrays([pa.array([x], pa.string() if isinstance(x, str) else pa.int64()) for x in row], [x.split()[0] for x in FILES.split(", ")])
 
         now, held, size, nth = None, [], 0, 0
         for part, doc_id, n, frame in arrow_rows(batches, "part", "doc_id", "n", "frame"):
@@ -246,8 +285,13 @@ def write_store(docs: DataFrame, path: str, folder: str, end: int = 0, file_docs
         if held:
             yield put(now, held)
 
-    files = materialize(rows.select("part", "doc_id", "n", "frame").mapInArrow(task, "part long, nth long, file string, documents long, ids long"), "token-files")
-    return files, dictionary
+    rows.select("part", "doc_id", "n", "frame").mapInArrow(task, FILES).write.mode("overwrite").parquet(f"{folder}/manifest")
+    return open_store(docs.sparkSession, folder)
+
+
+def open_store(spark, folder: str) -> DataFrame:
+    """The manifest of a store in a folder, by this or any other session."""
+    return spark.read.schema(FILES).parquet(f"{folder}/manifest")
 
 
 def starts(files: DataFrame) -> DataFrame:
@@ -258,17 +302,17 @@ def starts(files: DataFrame) -> DataFrame:
     return files.withColumn("first", F.coalesce(F.sum("ids").over(before), F.lit(0)))
 
 
-def read_store(files: DataFrame, dictionary: bytes, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document of the files, read back from them."""
+def read_store(files: DataFrame, folder: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document of a manifest's files, read back from them."""
 
     def task(batches):
         import numpy as np
         import pyarrow as pa
 
         fs, path = filesystem(folder)
-        for name, first in arrow_rows(batches, "file", "first"):
+        for name, first, sha in arrow_rows(batches, "file", "first", "dictionary"):
             with fs.open_input_file(f"{path}/{name}") as stream:
-                reader = Reader(stream, dictionary)
+                reader = Reader(stream, get_dictionary(folder, sha))
                 n = reader.head["documents"]
                 at = first + np.concatenate([[0], np.cumsum(reader.counts[:-1], dtype="i8")])
                 yield pa.RecordBatch.from_pydict({
@@ -280,8 +324,25 @@ def read_store(files: DataFrame, dictionary: bytes, folder: str) -> DataFrame:
     return starts(files).repartition(n, "file").mapInArrow(task, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def fetch(spark, folder: str, doc_id: int) -> list[bytes]:
+    """The ids of each document of that id: files whose range has it, then their index and a ranged read."""
+    import numpy as np
+
+    found = open_store(spark, folder).where((F.col("least_id") <= doc_id) & (F.col("most_id") >= doc_id)).orderBy("part", "nth")
+    fs, path = filesystem(folder)
+    out = []
+    for r in found.select("file", "dictionary").toLocalIterator():
+        with fs.open_input_file(f"{path}/{r.file}") as stream:
+            reader = Reader(stream, get_dictionary(folder, r.dictionary))
+            out += [reader.ids(int(k)) for k in np.flatnonzero(reader.doc_ids == doc_id)]
+    return out
+
+
 def store(docs: DataFrame, path: str, folder: str | None = None, end: int = 0) -> DataFrame:
-    """Write the store of ``docs`` and read it back."""
+    """Write the store of ``docs`` (doc_id, text) and read it back: (doc_id, start, n_tokens, ids_crc32) a row.
+
+    Nulls, equal ids, repeated rows, empty tables and other columns as in write_store();
+    a text of any length is one frame.
+    """
     folder = folder or fresh_dir(docs.sparkSession, "tokens")
-    files, dictionary = write_store(docs, path, folder, end)
-    return read_store(files, dictionary, folder)
+    return read_store(write_store(docs, path, folder, end), folder)
