@@ -109,10 +109,12 @@ def schedule(sources: DataFrame, block: int, total: int, cells: int = 1024) -> D
 
 
 def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, slots: int = 1 << 16, largest_block: int = 4096, **columns) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, first_slot): the words the mix takes of each row.
+    """(doc_id, size, source_size, target, taken, first_slot, slots): the words the mix takes of each row.
 
     Each source's shuffled words, gone through twice at most, are cut into equal
-    blocks; the blocks that the schedule names are joined to the rows they cut.
+    blocks; the blocks that the schedule names are joined to the rows they cut. A row
+    comes first in ``first_slot`` of the schedule, and in ``slots`` in each pass that
+    takes some of it; both null if none does.
     Null texts and texts without words have size 0 and taken 0; a null source is a
     source, the last. Equal rows each take their own part; an empty table gives no
     rows; other columns of ``docs`` are ignored. Reruns agree.
@@ -124,33 +126,44 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.
     total = sources.agg(F.coalesce(F.sum(F.ceil(F.col("words") / F.lit(block))), F.lit(0))).first()[0]
     rows = positions(sized, sources, seed)
     passes = F.transform(F.sequence(F.lit(0), F.lit(max(0, math.ceil(most) - 1))), lambda p: F.struct(
-        (F.col("start") + p * F.col("source_size")).alias("a"),
+        p.alias("pass"), (F.col("start") + p * F.col("source_size")).alias("a"),
         F.least(F.col("start") + F.col("size") + p * F.col("source_size"), F.col("words")).alias("b"),
     ))
     cut = F.flatten(F.transform(F.filter(passes, lambda x: x["a"] < x["b"]), lambda x: F.transform(
         F.sequence(F.floor(x["a"] / block), F.floor((x["b"] - 1) / block)),
-        lambda k: F.struct(k.alias("block"), (F.least(x["b"], (k + 1) * block) - F.greatest(x["a"], k * block)).alias("words")),
+        lambda k: F.struct(x["pass"].alias("pass"), k.alias("block"), (F.least(x["b"], (k + 1) * block) - F.greatest(x["a"], k * block)).alias("words")),
     )))
     keys = ["src", "part", "nth", "doc_id", "size", "source_size", "target"]
-    pieces = rows.select(*keys, F.explode_outer(cut).alias("x")).select(*keys, F.col("x.block").alias("block"), F.col("x.words").alias("words"))
+    pieces = rows.select(*keys, F.explode_outer(cut).alias("x")).select(*keys, "x.pass", "x.block", "x.words")
     taken = pieces.join(schedule(sources, block, total), ["src", "block"], "left")
     amount = F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("words"))), F.lit(0)).cast("long")
-    return taken.groupBy(*keys).agg(amount.alias("taken"), F.min("slot").alias("first_slot")).select(
-        "doc_id", "size", "source_size", "target", "taken", "first_slot"
+    per_pass = F.array_compact(F.array(*[F.min(F.when(F.col("pass") == p, F.col("slot"))) for p in range(math.ceil(most))]))
+    return taken.groupBy(*keys).agg(amount.alias("taken"), F.min("slot").alias("first_slot"), per_pass.alias("slots")).select(
+        "doc_id", "size", "source_size", "target", "taken", "first_slot", F.when(F.size("slots") > 0, F.col("slots")).alias("slots")
     )
 
 
-def blend(docs: DataFrame, broadcast_rows: int = 500_000, **options) -> DataFrame:
-    """docs as the mix takes them: each row as often as its taken words are to its own, rounded.
+def blend(docs: DataFrame, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs as the mix takes them: each row as often as its taken words are to its own, rounded, in the order of the schedule.
 
-    Only ids and amounts are joined to the rows; up to ``broadcast_rows`` of them by a
-    broadcast, so that the texts stay where they are. Rows of one id share what the id
-    takes; rows without words are not taken.
+    The copies are dealt by their slots and sorted by them, so that partition after
+    partition the sources come in their shares. Only ids and slots are joined to the
+    rows, up to ``broadcast_rows`` of them by a broadcast. Rows of one id share what the
+    id takes; null texts and rows without words are not taken; a null id is an id. An
+    empty table gives no rows; other columns stay, whatever their names.
     """
-    taken = mix(docs, **options).groupBy(F.col("doc_id").alias("__id")).agg(F.try_divide(F.sum("taken"), F.sum("size")).alias("__times"))
-    taken = materialize(taken.where("__times >= 0.5").withColumn("__times", F.floor(F.col("__times") + 0.5).cast("int")), "mix-taken")
-    if taken.count() <= broadcast_rows:
+    taken = mix(docs, id_col=id_col, text_col=text_col, **options).groupBy(F.col("doc_id").alias("__id")).agg(
+        F.try_divide(F.sum("taken"), F.sum("size")).alias("__times"), F.array_sort(F.flatten(F.collect_list("slots"))).alias("__slots")
+    )
+    taken = taken.where("__times >= 0.5").select("__id", F.slice("__slots", F.lit(1), F.floor(F.col("__times") + 0.5).cast("int")).alias("__slots"), F.floor(F.col("__times") + 0.5).cast("int").alias("__times"))
+    taken = materialize(taken, "mix-taken")
+    known = taken.agg(F.count("*"), F.coalesce(F.max(F.array_max("__slots")), F.lit(0))).first()
+    if known[0] <= broadcast_rows:
         taken = F.broadcast(taken)
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")))
-    words = F.coalesce(F.regexp_like("text", F.lit(WORD)), F.lit(False))
-    return rows.where(words).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    words = F.coalesce(F.regexp_like(F.col(text_col), F.lit(WORD)), F.lit(False))
+    rows = docs.where(words).join(taken, F.col(id_col).eqNullSafe(F.col("__id")))
+    # A row that is taken twice in one pass (of an id of several rows) comes twice in its last slot.
+    slot = F.explode(F.transform(F.sequence(F.lit(1), F.col("__times")), lambda c: F.get("__slots", F.least(c, F.size("__slots")) - 1)))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.withColumn("__slot", slot).repartitionById(n, F.floor(F.col("__slot") * n / (known[1] + 1)).cast("int"))
+    return rows.sortWithinPartitions("__slot", F.col(id_col).asc_nulls_last()).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -15,13 +15,29 @@ WITH d AS (
 ), t AS (
   SELECT source, src, source_size, CAST(least(CASE WHEN level >= ratio THEN CAST(room AS DOUBLE) ELSE w * (SELECT arg_min(level, ratio) FROM l WHERE level < ratio) END, CAST(room AS DOUBLE)) AS DOUBLE) AS target FROM l
 ), p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS words,
+  SELECT d.doc_id, t.src, d.size, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS words,
     CAST(coalesce(sum(d.size) OVER (PARTITION BY t.src ORDER BY md5(d.doc_id || ':17'), d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), b AS (
+  SELECT CAST(greatest(1, least(4096, ceil(sum(CAST(floor(target) AS BIGINT)) / 65536))) AS BIGINT) AS block FROM t
+), o AS (
+  SELECT t.src, CAST(ceil(CAST(floor(target) AS DOUBLE) / block) AS BIGINT) AS quota FROM t, b WHERE floor(target) > 0
+), h AS (
+  SELECT src, quota, CAST(sum(quota) OVER (ORDER BY src) AS BIGINT) AS hi, CAST(sum(quota) OVER () AS BIGINT) AS total FROM o
+), z AS (
+  SELECT slot, CAST(floor(CAST((slot % 2147483648) * 1327217885 % 2147483648 * total AS DOUBLE) / 2147483648) AS BIGINT) AS place
+  FROM (SELECT max(total) AS total, unnest(range(max(total))) AS slot FROM h)
+), g AS (
+  SELECT src, quota, total, slot, row_number() OVER (PARTITION BY src ORDER BY slot) - 1 AS block FROM z JOIN h ON place >= hi - quota AND place < hi
+), n AS (
+  SELECT src, count(*) AS n FROM g GROUP BY src
+), k AS (
+  SELECT src, block, slot FROM g WHERE block < quota
+  UNION ALL SELECT src, block, total + block FROM (SELECT h.src, total, unnest(range(coalesce(n, 0), quota)) AS block FROM h LEFT JOIN n USING (src))
 )
 SELECT doc_id, size, source_size, target,
-  CAST(least(size, greatest(0, words - start)) + least(size, greatest(0, words - source_size - start)) AS BIGINT) AS taken
-FROM p
+  CAST(least(size, greatest(0, words - start)) + least(size, greatest(0, words - source_size - start)) AS BIGINT) AS taken, CAST(k.slot AS BIGINT) AS first_slot
+FROM p CROSS JOIN b LEFT JOIN k ON size > 0 AND start < words AND k.src = p.src AND k.block = start // b.block
 """
 
 # Base 32 of SHA-1: 160 bits in groups of five.

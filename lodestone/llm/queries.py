@@ -28,7 +28,7 @@ def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.mixing import mix
 
-    return mix(table(spark, sf_dir, "documents")).drop("first_slot")
+    return mix(table(spark, sf_dir, "documents")).drop("slots")
 
 
 def op5_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

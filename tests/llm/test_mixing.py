@@ -74,3 +74,52 @@ def test_blend(spark):
         words = sum(len(r.text.split()) for r in got)
         assert abs(words / sum(len(r[1].split()) for r in rows) - 1.5) < 0.1
     assert blend(docs.where("false")).count() == 0
+
+
+def test_the_schedule_decides_the_order(spark, monkeypatch):
+    """Sources come in their shares all along the mix; with another multiplier they do not, and the result is another."""
+    from lodestone.llm import mixing
+
+    rows = [(i, f"w{i} " * 10, "ab"[i % 2]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    first = lambda: {r.doc_id: r.first_slot for r in mixing.mix(docs).collect()}
+    source = dict((i, s) for i, _, s in rows)
+
+    def worst():
+        got = [source[r.doc_id] for r in mixing.blend(docs).collect()]
+        share = got.count("a") / len(got)
+        return max(abs(got[:k].count("a") - share * k) for k in range(len(got)))
+
+    right = first()
+    assert worst() <= 8 and None not in right.values()
+    monkeypatch.setattr(mixing, "GOLDEN", 3)
+    assert first() != right and worst() > 20
+
+
+def test_blend_is_in_slot_order(spark):
+    from lodestone.llm import mixing
+
+    texts = {0: "w " * 20_000, 1: None, 2: "", 3: "  "}
+    docs = spark.createDataFrame([(i, texts.get(i, "w " * (i % 9 + 1)), "abc"[i % 3], "x", "y") for i in range(300)], SCHEMA)
+    slots = {r.doc_id: r.slots for r in mixing.mix(docs).collect()}
+    assert all(slots[i] is None for i in (1, 2, 3))
+    seen, at = {}, []
+    for r in mixing.blend(docs).collect():
+        n = seen[r.doc_id] = seen.get(r.doc_id, -1) + 1
+        at.append(slots[r.doc_id][min(n, len(slots[r.doc_id]) - 1)])
+    assert at == sorted(at) and len(at) > 300
+
+
+def test_sql(spark, tmp_path):
+    """The schedule in SQL, on rows with nulls, ties and repeats."""
+    import duckdb
+
+    from lodestone.llm.oracles import SQL
+
+    rows = [(i, "w " * (i * 7 % 50) if i % 13 else None, [None, "b", "a", "é"][i % 4]) for i in range(700)] + [(5, "w w", "a")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar, source varchar)")
+    con.executemany("insert into documents values (?, ?, ?)", rows)
+    got = sorted(map(str, (tuple(r) for r in mix(docs).drop("slots").collect())))
+    assert got == sorted(map(str, con.sql(SQL["op4_source_mix"]).fetchall()))
