@@ -73,12 +73,13 @@ def finish(rows: DataFrame, k: int, threshold: float, debug: bool = False) -> Da
     return rows.select(*OUT, F.struct(*[c for c in parts if c in rows.columns]).alias("debug"))
 
 
-def hybrid_search(chunks: DataFrame, queries: DataFrame, edges: DataFrame | None = None, options: dict | None = None, k: int = 10, threshold: float = 0.35, prefix: str | None = None, fields=FIELDS, prefix_mode: str = "compat", filter_expansion: bool = True, stem: bool = False) -> DataFrame:
+def hybrid_search(chunks: DataFrame, queries: DataFrame, edges=None, options: dict | None = None, k: int = 10, threshold: float = 0.35, prefix: str | None = None, fields=FIELDS, prefix_mode: str = "compat", filter_expansion: bool = True, stem: bool = False) -> DataFrame:
     """Ranked hits of queries (query_id, query_text, vec) over chunks (chunk_id, file_path, chunk_text, identifiers, start_line, end_line, embedding).
 
-    Scores fuse similarity, full text and reciprocal ranks; with ``edges`` and a graph
-    weight, files near the best ones are boosted, and files that are only near them
-    added (within the prefix, unless ``filter_expansion`` is off).
+    Scores fuse similarity, full text and reciprocal ranks; with ``edges`` (of files, or
+    a graph that pagerank() takes) and a graph weight, files near the best ones are
+    boosted, and files that are only near them added (within the prefix, unless
+    ``filter_expansion`` is off).
     """
     o = C.merged(C.DEFAULTS["search"]["hybrid"], options or {})
     weights = o["weight_vector"], o["weight_bm25"], o["weight_rrf"]

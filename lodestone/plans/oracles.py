@@ -58,7 +58,7 @@ PHRASES = [
 BM25 = f"""
 WITH {values(PHRASES, 'p', 'query_id', 'phrase', 'narrow', 'tiered', 'terms')},
 {values(X.FTS_QUERIES, 'fq', 'query_id', 'query_text')},
-d AS (SELECT doc_id AS chunk_id, {DOC_PATH} AS file_path, text, regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+') AS tokens FROM documents {{only}}),
+d AS (SELECT doc_id AS chunk_id, {DOC_PATH} AS file_path, text, regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+') AS tokens FROM documents),
 st AS (SELECT count(*) AS n_all, avg(len(tokens)) AS mean FROM d),
 tf AS (SELECT query_id, phrase, narrow, tiered, chunk_id, len(tokens) AS n_terms, file_path,
   len(list_filter(range(1, len(tokens) - len(terms) + 2), lambda i: tokens[i:i + len(terms) - 1] = terms)) AS tf FROM d, p),
@@ -73,8 +73,8 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(bm2
 TIERED = "max(CAST(whole AS INT)) OVER (PARTITION BY query_id) = 1"
 
 
-def bm25(narrowed=TIERED, where="", only="") -> str:
-    return BM25.replace("{narrowed}", narrowed).replace("{where}", where).replace("{only}", only)
+def bm25(narrowed=TIERED, where="") -> str:
+    return BM25.replace("{narrowed}", narrowed).replace("{where}", where)
 
 
 RANKED = "SELECT query_id, chunk_id, round(bm25, 6) AS bm25, fts_rank FROM r"
@@ -109,8 +109,7 @@ SQL["shown_hits"] = LEXICAL.replace("fts_rank <= 20", "fts_rank <= 10") + """SEL
 
 # Fusion ---------------------------------------------------------------------
 
-VECTORS = "WHERE doc_id IN (SELECT vec_id FROM embeddings)"
-FUSE = bm25(only=VECTORS) + NORMAL + """, q AS (SELECT fq.query_id, query_text, CAST(embedding AS DOUBLE[]) AS w FROM fq JOIN embeddings ON vec_id = query_id),
+FUSE = bm25() + NORMAL + """, q AS (SELECT fq.query_id, query_text, CAST(embedding AS DOUBLE[]) AS w FROM fq JOIN embeddings ON vec_id = query_id),
 vs AS (SELECT query_id, chunk_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), w) AS similarity FROM d JOIN embeddings ON vec_id = chunk_id, q),
 vr AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, chunk_id) AS INTEGER) AS vec_rank FROM vs),
 fu AS (SELECT coalesce(v.query_id, b.query_id) AS query_id, coalesce(v.chunk_id, b.chunk_id) AS chunk_id, v.similarity AS vec_similarity, coalesce(v.similarity, 0.0) AS similarity, vec_rank, bm25_norm, fts_rank,
@@ -216,34 +215,59 @@ SQL["outline"] = DEFS + " SELECT name, kind, line FROM defs WHERE file_path = 's
 SQL["path_fragment"] = f"WITH {DOC_DEFS} SELECT DISTINCT file_path FROM dd WHERE contains(lower(file_path), 'c1/en/1') ORDER BY file_path LIMIT 20"
 
 
-def file_graph(weight: str, most: int = 0) -> str:
+def edges(most: int = 0) -> str:
     cut = f"WHERE n <= {most}" if most else ""
-    return f"""WITH {DOC_DEFS}, df AS (SELECT DISTINCT name, file_path AS dst FROM dd), nn AS (SELECT name, count(*) AS n FROM df GROUP BY name),
-rf AS (SELECT DISTINCT {DOC_PATH} AS src, unnest(list_filter(regexp_extract_all(lower(text), '\\p{{L}}+'), lambda w: regexp_matches(w, '^[a-z]{{9,}}$'))) AS name FROM documents),
-eg AS (SELECT src, dst, sum(1.0::DOUBLE / n) AS w FROM rf JOIN df USING (name) JOIN (SELECT * FROM nn {cut}) USING (name) WHERE src <> dst GROUP BY src, dst)
-SELECT src, dst, round({weight}, 6) AS weight FROM eg"""
+    return f"""{DOC_DEFS}, df AS (SELECT DISTINCT name, file_path AS dst FROM dd), nn AS (SELECT name, count(*) AS n FROM df GROUP BY name),
+rf AS (SELECT DISTINCT {DOC_PATH} AS src, unnest(regexp_extract_all(lower(text), '\\p{{L}}{{5,}}')) AS name FROM documents),
+eg AS MATERIALIZED (SELECT src, dst, sum(1.0::DOUBLE / n) AS w FROM rf JOIN df USING (name) JOIN (SELECT * FROM nn {cut}) USING (name) WHERE src <> dst GROUP BY src, dst)"""
+
+
+def file_graph(weight: str, most: int = 0) -> str:
+    return f"WITH {edges(most)} SELECT src, dst, round({weight}, 6) AS weight FROM eg"
 
 
 SQL["file_graph_raw"] = file_graph("w")
 SQL["file_graph_binary"] = file_graph("1.0::DOUBLE")
 SQL["file_graph_sqrt"] = file_graph("sqrt(w)")
 SQL["file_graph_max_definers"] = file_graph("w", 5)
-PPR = """WITH eg AS MATERIALIZED (SELECT 'n' || c_nationkey AS src, 'n' || s_nationkey AS dst, CAST(count(*) AS DOUBLE) AS weight
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-  WHERE c_nationkey <> s_nationkey AND (ascii(substr('n' || c_nationkey, 2, 1)) + ascii(substr('n' || s_nationkey, 2, 1))) % 3 = 0 AND NOT starts_with('n' || s_nationkey, 'n2') GROUP BY 1, 2),
-st AS MATERIALIZED (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM eg),
-seed(query_id, node, score) AS (VALUES (0, 'n1', 1.0), (0, 'n7', 3.0), (1, 'n20', 2.0), (2, 'nowhere', 1.0)),
-re AS MATERIALIZED (SELECT query_id, node, CAST(score AS DOUBLE) / sum(CAST(score AS DOUBLE)) OVER (PARTITION BY query_id) AS p FROM seed),
-r0 AS MATERIALIZED (SELECT query_id, node, p AS r FROM re)""" + "".join(
+
+# Steps of the walk from ``seed`` (query_id, node, score). A query keeps its ranks once a step has changed them by less than the tolerance.
+WALK = f""", {edges()},
+sh AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS share FROM eg),
+re AS MATERIALIZED (SELECT query_id, node, score / sum(score) OVER (PARTITION BY query_id) AS p FROM seed),
+r0 AS MATERIALIZED (SELECT query_id, node, p AS r FROM re),
+l0 AS MATERIALIZED (SELECT DISTINCT query_id FROM re)""" + "".join(
     f""",
-r{i} AS MATERIALIZED (SELECT query_id, node, sum(r) AS r FROM (
-  SELECT query_id, dst AS node, 0.85 * r * share AS r FROM r{i - 1} JOIN st ON node = src
-  UNION ALL SELECT re.query_id, re.node, p * (0.15 + 0.85 * coalesce((SELECT sum(r) FROM r{i - 1} x WHERE x.query_id = re.query_id AND x.node NOT IN (SELECT src FROM st)), 0)) FROM re) GROUP BY query_id, node)"""
-    for i in range(1, 21)
-) + ", ppr AS (SELECT query_id, node, r / max(r) OVER (PARTITION BY query_id) AS ppr FROM r20 WHERE r > 0)"
+s{i} AS MATERIALIZED (SELECT query_id, node, sum(r) AS r FROM (
+  SELECT query_id, dst AS node, {V.PPR_ALPHA} * r * share AS r FROM r{i - 1} JOIN sh ON node = src WHERE query_id IN (FROM l{i - 1})
+  UNION ALL SELECT query_id, node, p * ({1 - V.PPR_ALPHA} + {V.PPR_ALPHA} * coalesce(lost, 0)) FROM re
+    LEFT JOIN (SELECT query_id, sum(r) AS lost FROM r{i - 1} WHERE node NOT IN (SELECT src FROM sh) GROUP BY query_id) USING (query_id) WHERE query_id IN (FROM l{i - 1})) GROUP BY query_id, node),
+r{i} AS MATERIALIZED (SELECT * FROM s{i} UNION ALL SELECT * FROM r{i - 1} WHERE query_id NOT IN (FROM l{i - 1})),
+l{i} AS MATERIALIZED (SELECT query_id FROM (SELECT query_id, node, sum(r) AS d FROM (SELECT * FROM s{i} UNION ALL SELECT query_id, node, -r FROM r{i - 1} WHERE query_id IN (FROM l{i - 1})) GROUP BY ALL)
+  GROUP BY query_id HAVING sum(abs(d)) >= {V.PPR_TOLERANCE})"""
+    for i in range(1, V.PPR_ITERATIONS + 1)
+) + f", ppr AS (SELECT query_id, node, r / max(r) OVER (PARTITION BY query_id) AS ppr FROM r{V.PPR_ITERATIONS} WHERE r > 0)"
+
+
+def best_files(hits: str) -> str:
+    """seed: the five best files of each query among hits (query_id, file_path, score)."""
+    return f""", seed AS MATERIALIZED (SELECT query_id, file_path AS node, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, file_path) AS nth
+  FROM (SELECT query_id, file_path, max(CAST(score AS DOUBLE)) AS score FROM {hits} GROUP BY ALL)) WHERE nth <= {V.DEFAULTS["search"]["hybrid"]["graph_seeds"]} AND score > 0)"""
+
+
+PPR = LEXICAL + best_files("(FROM z WHERE rank <= 10)") + WALK
 SQL["ppr"] = PPR + " SELECT query_id, node, round(ppr, 4) AS ppr FROM ppr"
-SQL["graph_expand"] = PPR + """, x AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY ppr DESC, node) AS INTEGER) AS nth FROM ppr WHERE ppr >= 0.05 AND (query_id, node) NOT IN (SELECT (query_id, node) FROM seed))
+SQL["graph_expand"] = PPR + """, x AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(ppr, 9) DESC, node) AS INTEGER) AS nth FROM ppr WHERE ppr >= 0.05 AND (query_id, node) NOT IN (SELECT (query_id, node) FROM seed))
 SELECT query_id, node, nth, round(ppr, 4) AS ppr FROM x WHERE nth <= 3"""
+# Hybrid search with the graph: candidates boosted by the rank of their file, and the best chunk of files that only the graph reaches (a file is a chunk here).
+SQL["hybrid_graph"] = HYBRID.split("h2 AS")[0].rstrip().rstrip(",") + """, h2 AS (SELECT *, (0.4 * coalesce(vec_similarity, 0) + 0.3 * coalesce(bm25_norm, 0) + 0.3 * rrf) * multiplier * boost AS base FROM h1)""" + best_files("(SELECT query_id, file_path, base AS score FROM h2)") + WALK + f""",
+g1 AS (SELECT h2.query_id, chunk_id, file_path, text, similarity, vec_rank, fts_rank, base * (1 + coalesce(ppr, 0)) AS base, FALSE AS via, NULL AS nth FROM h2 LEFT JOIN ppr ON ppr.query_id = h2.query_id AND node = file_path),
+g2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(ppr, 9) DESC, node) AS nth FROM ppr WHERE ppr >= 0.05 AND (query_id, node) NOT IN (SELECT (query_id, file_path) FROM h2)),
+g3 AS (SELECT g2.query_id, chunk_id, file_path, text, coalesce(list_cosine_similarity(CAST(embedding AS DOUBLE[]), w), 0) AS similarity, query_text, ppr, nth FROM g2 JOIN d ON file_path = node LEFT JOIN embeddings ON vec_id = chunk_id JOIN q ON q.query_id = g2.query_id WHERE nth <= 3),
+g4 AS (SELECT * FROM g1 UNION ALL SELECT query_id, chunk_id, file_path, text, similarity, NULL, NULL, 0.4 * similarity * {multiplier('file_path')} * {boost('query_text', 'text')} * (1 + ppr), TRUE, nth FROM g3),
+g5 AS (SELECT *, base * least(1 + 0.1 * (count(*) OVER (PARTITION BY query_id, file_path) - 1), 1.5) AS score FROM g4),
+g6 AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, CASE WHEN via THEN 2 WHEN vec_rank IS NULL THEN 1 ELSE 0 END, coalesce(nth, vec_rank, fts_rank)) AS INTEGER) AS rank FROM g5 WHERE via OR similarity >= 0.05 OR (similarity = 0 AND score > 0))
+SELECT query_id, rank, chunk_id, file_path, 1 AS start_line, CAST(len(string_split(text, chr(10))) AS INTEGER) AS end_line, round(similarity, 6) AS similarity, round(score, 6) AS score FROM g6 WHERE rank <= 10"""
 
 # Chunks ---------------------------------------------------------------------
 

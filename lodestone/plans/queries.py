@@ -169,8 +169,7 @@ def hybrid_debug(spark, sf):
 
 
 def hybrid_graph(spark, sf):
-    edges = graph.file_graph(doc_refs(spark, sf), doc_defs(spark, sf))
-    return _six(_hybrid(spark, sf, edges), "similarity", "score")
+    return _six(_hybrid(spark, sf, doc_graph(spark, sf)), "similarity", "score")
 
 
 def merged_hits(spark, sf):
@@ -279,12 +278,16 @@ def _seeds(spark, sf):
     return graph.top_seeds(fulltext.lexical_search(doc_chunks(spark, sf), text_queries(spark), fields=TEXT), V.DEFAULTS["search"]["hybrid"]["graph_seeds"])
 
 
+def doc_graph(spark, sf) -> graph.NameGraph:
+    return graph.NameGraph(doc_refs(spark, sf), doc_defs(spark, sf))
+
+
 def _ranks(spark, sf, seeds):
-    return graph.pagerank(graph.file_graph(doc_refs(spark, sf), doc_defs(spark, sf)), seeds)
+    return graph.pagerank(doc_graph(spark, sf), seeds)
 
 
 def ppr(spark, sf):
-    return _ranks(spark, sf, _seeds(spark, sf)).withColumn("ppr", F.round("ppr", 4))
+    return _ranks(spark, sf, materialize(_seeds(spark, sf), "seeds")).withColumn("ppr", F.round("ppr", 4))
 
 
 def graph_expand(spark, sf):
