@@ -1,17 +1,37 @@
-"""Full-text search: positional postings, phrases, BM25, and the two tiers of a query."""
+"""Full-text search: a stored index of positional postings, phrases, BM25, and the two tiers of a query."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lodestone.functions import fixed as V
 from lodestone.functions import text as T
-from lodestone.functions.stem import stem_terms
+from lodestone.functions.stem import stem_arrays, stem_terms
 from lodestone.plans.storage import small
 
 FIELDS = ("file_path", "chunk_text", "identifiers")
+POSTING = "term string, field int, chunk_id long, file_path string, n_terms int, positions array<int>"
+#: Terms of queries that are named to the scan, which reads their row groups only; more are joined to all postings.
+NAMED, NAMED_EACH = 10_000, 64
+
+
+@dataclass(frozen=True)
+class TextIndex:
+    """Postings (POSTING, stemmed or not), and of how many chunks and terms."""
+
+    postings: DataFrame
+    chunks: int
+    terms: int
+    stem: bool = False
+
+    @property
+    def mean(self) -> float:
+        return self.terms / self.chunks if self.chunks else 1.0
 
 
 def compile_queries(queries: DataFrame, text: str = "query_text") -> DataFrame:
@@ -30,59 +50,89 @@ def phrases(compiled: DataFrame, stem: bool = False) -> DataFrame:
     return stem_terms(rows) if stem else rows
 
 
-def postings(chunks: DataFrame, fields=FIELDS, stem: bool = False) -> DataFrame:
-    """(chunk_id, field, pos, term) of the text fields of the chunks."""
-    parts = [F.struct(F.lit(i).alias("field"), T.index_terms(F.coalesce(F.col(f), F.lit(""))).alias("terms")) for i, f in enumerate(fields)]
-    rows = chunks.select("chunk_id", F.explode(F.array(*parts)).alias("p")).select("chunk_id", "p.field", F.posexplode("p.terms").alias("pos", "term"))
-    return stem_terms(rows) if stem else rows
-
+def n_terms(fields=FIELDS) -> Column:
+    """Terms of a chunk over all its fields."""
+    return sum((F.size(T.index_terms(F.coalesce(F.col(f), F.lit("")))) for f in fields), F.lit(0)).cast("int")
 
-def lengths(chunks: DataFrame, fields=FIELDS) -> DataFrame:
-    """(chunk_id, n_terms) over all fields."""
-    n = sum((F.size(T.index_terms(F.coalesce(F.col(f), F.lit("")))) for f in fields), F.lit(0))
-    return chunks.select("chunk_id", n.cast("long").alias("n_terms"))
 
+def postings(chunks: DataFrame, fields=FIELDS, stem: bool = False) -> DataFrame:
+    """POSTING of the text fields of chunks: a row a term of each field, with its places in it. Chunks are tokenized here, when they are indexed."""
+    parts = [F.struct(F.lit(i).alias("field"), T.index_terms(F.coalesce(F.col(f), F.lit(""))).alias("terms")) for i, f in enumerate(fields)]
+    rows = chunks.select("chunk_id", "file_path", F.array(*parts).alias("parts"))
+    total = F.aggregate("parts", F.lit(0), lambda n, p: n + F.size(p["terms"]))
+    rows = rows.select("chunk_id", "file_path", total.alias("n_terms"), F.explode("parts").alias("p")).select("chunk_id", "file_path", "n_terms", "p.field", "p.terms")
+    if stem:
+        rows = stem_arrays(rows, "terms")
+    rows = rows.select("field", "chunk_id", "file_path", "n_terms", F.posexplode("terms").alias("pos", "term"))
+    rows = rows.groupBy("term", "field", "chunk_id", "file_path", "n_terms").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    return rows.select("term", "field", "chunk_id", "file_path", "n_terms", "positions")
+
+
+def by_term(rows: DataFrame) -> DataFrame:
+    """Postings as they are stored: in ranges of the term (a common term in several, by chunk), sorted, so that a scan for terms skips the other row groups."""
+    return rows.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id", "field")
+
+
+def write_index(chunks: DataFrame, path: str, fields=FIELDS, stem: bool = False) -> TextIndex:
+    """Tokenize chunks once into postings at ``path``."""
+    by_term(postings(chunks, fields, stem)).write.parquet(f"{path}/postings")
+    n = chunks.select(n_terms(fields).alias("n")).agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return TextIndex(chunks.sparkSession.read.schema(POSTING).parquet(f"{path}/postings"), n[0], n[1], stem)
+
+
+def of_terms(index: TextIndex, wanted: DataFrame) -> DataFrame:
+    """The postings of the terms of phrases, with the phrases."""
+    terms = [r[0] for r in wanted.select("term").distinct().limit(NAMED + 1).collect()]
+    if len(terms) > NAMED:
+        return index.postings.join(small(wanted), "term")
+    rows = index.postings
+    if len(terms) <= NAMED_EACH:  # each a comparison of its own, which row groups are held against
+        rows = rows.where(reduce(lambda a, b: a | b, [F.col("term") == t for t in terms], F.lit(False)))
+    else:
+        rows = rows.where(F.col("term").isin(terms))
+    return rows.join(F.broadcast(wanted), "term")
 
-def phrase_counts(posting: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(query_id, phrase, narrow, tiered, chunk_id, tf): occurrences of phrases, all terms in a row in one field.
 
-    Postings meet the queries' terms first, a small table, so that only theirs are grouped.
-    """
-    met = posting.join(small(wanted), "term")
-    runs = met.groupBy("query_id", "phrase", "narrow", "tiered", "words", "chunk_id", "field", (F.col("pos") - F.col("at")).alias("start")).agg(F.count("*").alias("n"))
-    return runs.where("n = words").groupBy("query_id", "phrase", "narrow", "tiered", "chunk_id").agg(F.count("*").alias("tf"))
+def phrase_counts(index: TextIndex, wanted: DataFrame) -> DataFrame:
+    """(query_id, phrase, narrow, tiered, chunk_id, file_path, n_terms, tf): occurrences of phrases, all terms in a row in one field."""
+    met = of_terms(index, wanted)
+    keys = ["query_id", "phrase", "narrow", "tiered", "chunk_id", "file_path", "n_terms"]
+    single = met.where("words = 1").select(*keys, F.size("positions").cast("long").alias("n"))
+    several = met.where("words > 1").select(*keys, "words", "field", F.explode(F.transform("positions", lambda p: p - F.col("at"))).alias("start"))
+    several = several.groupBy(*keys, "words", "field", "start").agg(F.count("*").alias("m")).where("m = words").select(*keys, F.lit(1).cast("long").alias("n"))
+    return single.unionByName(several).groupBy(*keys).agg(F.sum("n").alias("tf"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, prefix: str | None = None, fields=FIELDS, stem: bool = False, text: str = "query_text", tiers: str = "both") -> DataFrame:
-    """(query_id, chunk_id, bm25, fts_rank) of the chunks that the queries match; lower is better.
+def bm25(index: TextIndex, queries: DataFrame, prefix: str | None = None, text: str = "query_text", tiers: str = "both") -> DataFrame:
+    """(query_id, chunk_id, file_path, bm25, fts_rank) of the chunks that the queries match; lower is better.
 
     A query of three words or more keeps to the chunks with all of them, scored by those
     words alone, where there is one (below the path prefix, which is not case-sensitive);
     otherwise, and other queries, to those with any phrase. Counts of chunks and mean
-    length are those of the whole index. tiers: both, or the one asked for.
+    length are those of the whole index. tiers: both, or the one asked for. What is known
+    of a phrase or a query (its chunks, whether it is narrowed) is summed where the
+    matches are and joined back, so that a common word is nowhere gathered.
     """
-    wanted = phrases(compile_queries(queries, text), stem)
-    length = lengths(chunks, fields)
-    counts = phrase_counts(postings(chunks, fields, stem), wanted)
-    stats = length.agg(F.count("*").alias("N"), F.avg("n_terms").alias("mean"))
-    df = F.count("*").over(W.partitionBy("query_id", "phrase"))
-    scored = counts.withColumn("df", df).join(length, "chunk_id").crossJoin(F.broadcast(stats))
-    idf = F.log((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    wanted = phrases(compile_queries(queries, text), index.stem)
+    counts = phrase_counts(index, wanted)
+    df = small(counts.groupBy("query_id", "phrase").agg(F.count("*").alias("df")))
+    idf = F.log((index.chunks - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, F.lit(V.IDF_FLOOR)).otherwise(idf)
-    norm = 1 - V.BM25_B + V.BM25_B * F.col("n_terms") / F.col("mean")
+    norm = 1 - V.BM25_B + V.BM25_B * F.col("n_terms") / F.lit(float(index.mean))
     score = -idf * F.col("tf") * (V.BM25_K1 + 1) / (F.col("tf") + V.BM25_K1 * norm)
-    per = scored.withColumn("score", score).groupBy("query_id", "tiered", "chunk_id").agg(
+    per = counts.join(df, ["query_id", "phrase"]).withColumn("score", score).groupBy("query_id", "tiered", "chunk_id", "file_path").agg(
         F.sum("score").alias("any_score"), F.sum(F.when(F.col("narrow"), F.col("score"))).alias("all_score"), F.sum(F.col("narrow").cast("int")).alias("hits")
     )
     sizes = wanted.where("narrow").groupBy("query_id").agg(F.countDistinct("phrase").alias("need"))
-    per = per.join(sizes, "query_id", "left").withColumn("whole", F.col("tiered") & F.coalesce(F.col("hits") == F.col("need"), F.lit(False)))
+    per = per.join(small(sizes), "query_id", "left").withColumn("whole", F.col("tiered") & F.coalesce(F.col("hits") == F.col("need"), F.lit(False)))
     if prefix:
-        per = per.join(chunks.where(F.lower("file_path").startswith(prefix.lower())).select("chunk_id"), "chunk_id", "left_semi")
+        per = per.where(F.lower("file_path").startswith(prefix.lower()))
     if tiers == "both":
-        per = per.withColumn("narrowed", F.max(F.col("whole").cast("int")).over(W.partitionBy("query_id")) == 1)
+        narrowed = small(per.where("whole").select("query_id", F.lit(True).alias("narrowed")).distinct())
+        per = per.join(narrowed, "query_id", "left").withColumn("narrowed", F.coalesce("narrowed", F.lit(False)))
     else:
         per = per.withColumn("narrowed", F.lit(tiers == "all"))
-    per = per.where("whole or not narrowed").select("query_id", "chunk_id", F.when(F.col("narrowed"), F.col("all_score")).otherwise(F.col("any_score")).alias("bm25"))
+    per = per.where("whole or not narrowed").select("query_id", "chunk_id", "file_path", F.when(F.col("narrowed"), F.col("all_score")).otherwise(F.col("any_score")).alias("bm25"))
     return per.withColumn("fts_rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.round("bm25", 9), "chunk_id")))
 
 
@@ -93,10 +143,10 @@ def normalized(scores: DataFrame, column: str = "bm25") -> DataFrame:
     return scores.withColumn("bm25_norm", F.when(lo == hi, F.lit(1.0)).otherwise((hi - F.col(column)) / (hi - lo)))
 
 
-def lexical_search(chunks: DataFrame, queries: DataFrame, k: int = 10, prefix: str | None = None, fields=FIELDS, stem: bool = False) -> DataFrame:
+def lexical_search(chunks: DataFrame, index: TextIndex, queries: DataFrame, k: int = 10, prefix: str | None = None) -> DataFrame:
     """(query_id, rank, chunk_id, file_path, start_line, end_line, similarity, score): full text alone, 2k candidates, weighed by kind of file and identifiers."""
-    found = normalized(bm25(chunks, queries, prefix, fields, stem).where(F.col("fts_rank") <= 2 * k))
-    rows = found.join(chunks, "chunk_id").join(small(queries.select("query_id", "query_text")), "query_id")
+    found = normalized(bm25(index, queries, prefix).where(F.col("fts_rank") <= 2 * k)).drop("file_path")
+    rows = chunks.join(small(found), "chunk_id").join(small(queries.select("query_id", "query_text")), "query_id")
     score = F.col("bm25_norm") * T.file_multiplier(F.col("file_path")) * T.identifier_boost(F.col("query_text"), F.col("chunk_text"))
     rows = rows.withColumn("score", score).withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "fts_rank")))
     return rows.where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "file_path", "start_line", "end_line", F.lit(0.0).alias("similarity"), "score")

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window as W
 from lodestone import config as C
 from lodestone.functions import fixed as V
 from lodestone.functions import text as T
-from lodestone.operators.fulltext import FIELDS, bm25, normalized
+from lodestone.operators.fulltext import TextIndex, bm25, normalized
 from lodestone.operators.graph import pagerank, top_seeds
 from lodestone.operators.knn import cosine, nearest
 from lodestone.plans.storage import materialize, small
@@ -35,11 +35,11 @@ def with_weights(rows: DataFrame) -> DataFrame:
     return rows.withColumn("multiplier", T.file_multiplier(F.col("file_path"))).withColumn("boost", T.identifier_boost(F.col("query_text"), F.col("chunk_text")))
 
 
-def candidates(chunks: DataFrame, queries: DataFrame, k: int, prefix: str | None, weights: tuple, fields=FIELDS, prefix_mode: str = "compat", stem: bool = False) -> DataFrame:
+def candidates(chunks: DataFrame, index: TextIndex, queries: DataFrame, k: int, prefix: str | None, weights: tuple, prefix_mode: str = "compat") -> DataFrame:
     """Scored candidates before graph and file boosts: 2k of each side. ``place`` is their order among equals."""
     vec = nearest(chunks, queries, 2 * k, prefix, prefix_mode)
-    fts = bm25(chunks, queries, prefix, fields, stem).where(F.col("fts_rank") <= 2 * k)
-    rows = fuse(vec, fts).join(chunks, "chunk_id").join(small(queries), "query_id")
+    fts = bm25(index, queries, prefix).where(F.col("fts_rank") <= 2 * k)
+    rows = chunks.join(small(fuse(vec, fts)), "chunk_id").join(small(queries), "query_id")
     rows = with_weights(rows).withColumn("score", base_score(*weights))
     side = F.when(F.col("vec_rank").isNotNull(), F.struct(F.lit(0).alias("side"), F.col("vec_rank").alias("at"))).otherwise(F.struct(F.lit(1).alias("side"), F.col("fts_rank").alias("at")))
     return rows.withColumn("place", side).withColumn("via_graph", F.lit(False)).withColumn("ppr", F.lit(None).cast("double"))
@@ -73,8 +73,8 @@ def finish(rows: DataFrame, k: int, threshold: float, debug: bool = False) -> Da
     return rows.select(*OUT, F.struct(*[c for c in parts if c in rows.columns]).alias("debug"))
 
 
-def hybrid_search(chunks: DataFrame, queries: DataFrame, edges=None, options: dict | None = None, k: int = 10, threshold: float = 0.35, prefix: str | None = None, fields=FIELDS, prefix_mode: str = "compat", filter_expansion: bool = True, stem: bool = False) -> DataFrame:
-    """Ranked hits of queries (query_id, query_text, vec) over chunks (chunk_id, file_path, chunk_text, identifiers, start_line, end_line, embedding).
+def hybrid_search(chunks: DataFrame, index: TextIndex, queries: DataFrame, edges=None, options: dict | None = None, k: int = 10, threshold: float = 0.35, prefix: str | None = None, prefix_mode: str = "compat", filter_expansion: bool = True) -> DataFrame:
+    """Ranked hits of queries (query_id, query_text, vec) over chunks (chunk_id, file_path, chunk_text, start_line, end_line, embedding) and their full-text index.
 
     Scores fuse similarity, full text and reciprocal ranks; with ``edges`` (of files, or
     a graph that pagerank() takes) and a graph weight, files near the best ones are
@@ -83,7 +83,7 @@ def hybrid_search(chunks: DataFrame, queries: DataFrame, edges=None, options: di
     """
     o = C.merged(C.DEFAULTS["search"]["hybrid"], options or {})
     weights = o["weight_vector"], o["weight_bm25"], o["weight_rrf"]
-    rows = candidates(chunks, queries, k, prefix, weights, fields, prefix_mode, stem)
+    rows = candidates(chunks, index, queries, k, prefix, weights, prefix_mode)
     wg = o["weight_graph"]
     if edges is not None and wg > 0:
         rows = materialize(rows, "hybrid")

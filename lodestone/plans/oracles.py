@@ -55,13 +55,36 @@ PHRASES = [
     (3, "auth", False, False, ["auth"]), *[(3, w, False, False, [w]) for w in V.SYNONYMS["auth"]],
     (4, "ourThing", True, True, ["ourthing"]), (4, "Thing", False, True, ["thing"]), (4, "eres", True, True, ["eres"]), (4, "oner", True, True, ["oner"]),
 ]
+
+
+def tokens(x: str) -> str:
+    return f"regexp_extract_all(strip_accents(lower({x})), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+')"
+
+
+def identifiers(x: str) -> str:
+    """Identifiers of a text and their parts, as in identifier_split; in no order that phrases of one word would see."""
+    ids = f"list_filter(regexp_extract_all({x}, '[a-zA-Z_$][a-zA-Z0-9_$]+'), lambda w: (regexp_matches(w, '[a-z][A-Z]') OR contains(w, '_')) AND NOT (lower(w) IN {words(V.STOP_WORDS)} AND length(w) < 6))"
+    parts = f"list_concat([w], CASE WHEN regexp_matches(w, '[a-z][A-Z]') THEN string_split(regexp_replace(regexp_replace(w, '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), ' ') ELSE [] END, CASE WHEN contains(w, '_') THEN list_filter(string_split(w, '_'), lambda y: y <> '') ELSE [] END)"
+    return f"array_to_string(flatten(list_transform(list_distinct({ids}), lambda w: {parts})), ' ')"
+
+
+def found(f: str) -> str:
+    """How often the terms stand in a row in a field."""
+    return f"CASE WHEN len(terms) = 1 THEN len(list_filter({f}, lambda x: x = terms[1])) ELSE len(list_filter(range(1, len({f}) - len(terms) + 2), lambda i: {f}[i] = terms[1] AND {f}[i:i + len(terms) - 1] = terms)) END"
+
+
+def stems(f: str) -> str:
+    return f
+
+
 BM25 = f"""
 WITH {values(PHRASES, 'p', 'query_id', 'phrase', 'narrow', 'tiered', 'terms')},
 {values(X.FTS_QUERIES, 'fq', 'query_id', 'query_text')},
-d AS (SELECT doc_id AS chunk_id, {DOC_PATH} AS file_path, text, regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+') AS tokens FROM documents),
-st AS (SELECT count(*) AS n_all, avg(len(tokens)) AS mean FROM d),
-tf AS (SELECT query_id, phrase, narrow, tiered, chunk_id, len(tokens) AS n_terms, file_path,
-  len(list_filter(range(1, len(tokens) - len(terms) + 2), lambda i: tokens[i:i + len(terms) - 1] = terms)) AS tf FROM d, p),
+d AS (SELECT doc_id AS chunk_id, {DOC_PATH} AS file_path, text FROM documents),
+fd AS (SELECT chunk_id, file_path, {tokens('file_path')} AS f0, {tokens('text')} AS f1, {tokens(identifiers('text'))} AS f2 FROM d),
+tk AS MATERIALIZED (SELECT chunk_id, file_path, {stems('f0')} AS f0, {stems('f1')} AS f1, {stems('f2')} AS f2, len(f0) + len(f1) + len(f2) AS n_terms FROM fd),
+st AS (SELECT count(*) AS n_all, avg(n_terms) AS mean FROM tk),
+tf AS (SELECT query_id, phrase, narrow, tiered, chunk_id, n_terms, file_path, {found('f0')} + {found('f1')} + {found('f2')} AS tf FROM tk, p),
 t AS (SELECT *, count(*) OVER (PARTITION BY query_id, phrase) AS df FROM tf WHERE tf > 0),
 s AS (SELECT *, -(CASE WHEN ln((n_all - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n_all - df + 0.5) / (df + 0.5)) END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n_terms / mean)) AS score FROM t, st),
 c AS (SELECT query_id, chunk_id, file_path, tiered, sum(score) AS any_score, sum(score) FILTER (narrow) AS all_score, count(*) FILTER (narrow) AS hits FROM s GROUP BY ALL),

@@ -9,12 +9,13 @@ from lodestone.functions import fixed as V
 from lodestone.functions import globs, text as T
 from lodestone.operators import chunking, fulltext, fusion, graph, knn, lookup, route, stats, symbols
 from lodestone.plans.fixtures import CODE, COMMANDS, DIRECTORIES, FTS_QUERIES, PATHS, REQUESTS, SENTENCES
-from lodestone.plans.storage import fresh_dir, materialize
+from lodestone.plans.storage import fresh_dir, materialize, version
 from lodestone.sources import files as S
 from lodestone.sources import snapshot as N
 from lodestone.sources.embedding import HashEmbedder, embed_column
 
-TEXT = ("chunk_text",)
+#: Full-text indexes of this session, by input and kind: written once, then read by the queries' terms.
+_INDEXES: dict = {}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -44,7 +45,15 @@ def doc_chunks(spark, sf) -> DataFrame:
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     docs = table(spark, sf, "documents").select("doc_id", doc_path().alias("file_path"), F.col("text").alias("chunk_text"))
     rows = docs.join(vectors, "doc_id", "left")
-    return rows.select(F.col("doc_id").alias("chunk_id"), "file_path", "chunk_text", F.lit("").alias("identifiers"), F.lit(1).alias("start_line"), F.size(F.split("chunk_text", "\n")).alias("end_line"), "embedding")
+    return rows.select(F.col("doc_id").alias("chunk_id"), "file_path", "chunk_text", T.identifiers(F.col("chunk_text")).alias("identifiers"), F.lit(1).alias("start_line"), F.size(F.split("chunk_text", "\n")).alias("end_line"), "embedding")
+
+
+def doc_index(spark, sf, stem: bool = False) -> fulltext.TextIndex:
+    """The stored full-text index of the documents: path, text and identifiers."""
+    key = spark.sparkContext.applicationId, version(spark, f"{sf}/documents.parquet"), stem
+    if key not in _INDEXES:
+        _INDEXES[key] = fulltext.write_index(doc_chunks(spark, sf), fresh_dir(spark, "text-index"), stem=stem)
+    return _INDEXES[key]
 
 
 def text_queries(spark) -> DataFrame:
@@ -111,7 +120,8 @@ def knn_multi_query(spark, sf):
 
 
 def _bm25(spark, sf, **options):
-    return _six(fulltext.bm25(doc_chunks(spark, sf), text_queries(spark), fields=TEXT, **options), "bm25")
+    stem = options.pop("stem", False)
+    return _six(fulltext.bm25(doc_index(spark, sf, stem), text_queries(spark), **options).drop("file_path"), "bm25")
 
 
 def bm25_or(spark, sf):
@@ -136,12 +146,12 @@ def bm25_porter(spark, sf):
 
 def bm25_phrase(spark, sf):
     wanted = fulltext.phrases(fulltext.compile_queries(text_queries(spark)))
-    rows = fulltext.phrase_counts(fulltext.postings(doc_chunks(spark, sf), TEXT), wanted)
+    rows = fulltext.phrase_counts(doc_index(spark, sf), wanted)
     return rows.select("query_id", "phrase", "chunk_id", "tf")
 
 
 def lexical_search(spark, sf):
-    return _six(fulltext.lexical_search(doc_chunks(spark, sf), text_queries(spark), fields=TEXT), "score")
+    return _six(fulltext.lexical_search(doc_chunks(spark, sf), doc_index(spark, sf), text_queries(spark)), "score")
 
 
 # Fusion ---------------------------------------------------------------------
@@ -149,14 +159,14 @@ def lexical_search(spark, sf):
 
 def rrf_fusion(spark, sf):
     chunks, queries = doc_chunks(spark, sf), both_queries(spark, sf)
-    rows = fusion.fuse(knn.nearest(chunks, queries, 20), fulltext.bm25(chunks, queries, fields=TEXT).where("fts_rank <= 20"))
+    rows = fusion.fuse(knn.nearest(chunks, queries, 20), fulltext.bm25(doc_index(spark, sf), queries).where("fts_rank <= 20"))
     rows = rows.select("query_id", "chunk_id", "similarity", "vec_rank", "bm25_norm", "fts_rank", T.rrf(F.col("vec_rank"), F.col("fts_rank")).alias("rrf"))
     return _six(rows, "similarity", "bm25_norm", "rrf")
 
 
 def _hybrid(spark, sf, edges=None, **options):
     chunks = doc_chunks(spark, sf)
-    return fusion.hybrid_search(chunks, both_queries(spark, sf), edges, {"weight_graph": 0 if edges is None else 1.0, **options}, threshold=0.05, fields=TEXT)
+    return fusion.hybrid_search(chunks, doc_index(spark, sf), both_queries(spark, sf), edges, {"weight_graph": 0 if edges is None else 1.0, **options}, threshold=0.05)
 
 
 def hybrid_search(spark, sf):
@@ -275,7 +285,7 @@ def file_graph_max_definers(spark, sf):
 
 def _seeds(spark, sf):
     """Each text query's best files."""
-    return graph.top_seeds(fulltext.lexical_search(doc_chunks(spark, sf), text_queries(spark), fields=TEXT), V.DEFAULTS["search"]["hybrid"]["graph_seeds"])
+    return graph.top_seeds(fulltext.lexical_search(doc_chunks(spark, sf), doc_index(spark, sf), text_queries(spark)), V.DEFAULTS["search"]["hybrid"]["graph_seeds"])
 
 
 def doc_graph(spark, sf) -> graph.NameGraph:
@@ -441,7 +451,7 @@ def shell_pattern(spark, sf):
 
 def shown_hits(spark, sf):
     chunks = doc_chunks(spark, sf)
-    hits = fulltext.lexical_search(chunks, text_queries(spark), 5, fields=TEXT).join(chunks.select("chunk_id", "chunk_text"), "chunk_id")
+    hits = fulltext.lexical_search(chunks, doc_index(spark, sf), text_queries(spark), 5).join(chunks.select("chunk_id", "chunk_text"), "chunk_id")
     return stats.hit_rows(hits, V.CODE_PREVIEW, "…")
 
 

@@ -9,8 +9,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local default only where none is set (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
+    """The cluster's shared folder. Only a session whose executors are threads of the driver has a default."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return "file:///tmp/checkpoints"
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
@@ -29,6 +34,17 @@ def materialize(df: DataFrame, label: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def version(spark: SparkSession, path: str) -> tuple:
+    """What a path holds: itself, and the files, bytes and latest change below it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files, n, size, latest = fs.listFiles(p, True), 0, 0, 0
+    while files.hasNext():
+        f = files.next()
+        n, size, latest = n + 1, size + f.getLen(), max(latest, f.getModificationTime())
+    return path, n, size, latest
+
+
 def small(df: DataFrame, most: int = 100_000) -> DataFrame:
     """``df`` to be broadcast if it has ``most`` rows at most; beyond, Spark chooses another join."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
