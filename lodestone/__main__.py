@@ -20,7 +20,7 @@ def main(argv: list[str] | None = None) -> int:
     s.add_argument("--threshold", type=float)
     s.add_argument("--path")
     s.add_argument("--no-hybrid", action="store_true")
-    for name in ("sync", "reindex", "gc", "status", "report", "serve"):
+    for name in ("sync", "reindex", "gc", "status", "report", "serve", "cancel", "session"):
         sub.add_parser(name)
     c = sub.add_parser("config")
     c.add_argument("action", choices=("show", "set", "provider", "reset"))
@@ -47,7 +47,7 @@ def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
 
     from lodestone.plans.engine import Engine
-    from lodestone.plans.tools import ToolServer, status_line
+    from lodestone.plans.tools import ToolServer, session_text, status_line
 
     spark = SparkSession.builder.appName("lodestone").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     engine = Engine(spark, args.index, args.root, settings.user())
@@ -60,6 +60,10 @@ def main(argv: list[str] | None = None) -> int:
         show(getattr(engine, args.command)())
     elif args.command == "gc":
         show(engine.gc())
+    elif args.command == "cancel":
+        show(engine.cancel())
+    elif args.command == "session":
+        print(session_text(engine.index_status()), end="")
     elif args.command == "status":
         print(status_line(engine.index_status()))
     elif args.command == "report":

@@ -90,3 +90,12 @@ def status_line(status: dict, warn: int = 75) -> str:
     if status.get("dimension_mismatch"):
         parts.append("vectors of other dimensions: reindex")
     return ", ".join(parts)
+
+
+def session_text(status: dict) -> str:
+    """What a new session is told: the tools and the size of the index; nothing while it cannot answer."""
+    if not status["ok"] or not status["files"]:
+        return ""
+    shown = [n for n in TOOLS if status.get("symbol_graph") or n not in ("find_symbol", "find_references", "outline")]
+    lines = [f"This tree is indexed: {status['files']} files, {status['chunks']} chunks. Tools:"]
+    return "\n".join([*lines, *(f"- {n}({', '.join(TOOLS[n][2])}): {TOOLS[n][0]}" for n in shown)]) + "\n"

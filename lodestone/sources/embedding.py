@@ -78,8 +78,34 @@ def prefixed(text: Column, prefix: str) -> Column:
     return F.concat(F.lit(prefix), text) if prefix else text
 
 
-def embed_column(rows: DataFrame, embedder, text: str, prefix: str = "", out: str = "embedding", rows_per_batch: int = 64) -> DataFrame:
-    """rows with the vector of ``text``; each task embeds Arrow batches in calls of ``rows_per_batch`` texts."""
+def _vectors(embedder, texts: list[str], skip: bool, misses: list[int]) -> list[list[float] | None]:
+    """A vector a text; with ``skip``, None for those that fail alone too. After three misses in a row nothing more is asked."""
+    if skip and misses[0] >= 3:
+        return [None] * len(texts)
+    try:
+        vectors = embedder.embed(texts)
+        for v in vectors:
+            if len(v) != embedder.dimensions:
+                raise ValueError(f"vector of {len(v)} dimensions, {embedder.dimensions} expected")
+        if len(vectors) != len(texts):
+            raise ValueError(f"{len(vectors)} vectors for {len(texts)} texts")
+    except (OSError, ValueError, KeyError):
+        if not skip:
+            raise
+        if len(texts) == 1:
+            misses[0] += 1
+            return [None]
+        return [v for t in texts for v in _vectors(embedder, [t], skip, misses)]
+    misses[0] = 0
+    return vectors
+
+
+def embed_column(rows: DataFrame, embedder, text: str, prefix: str = "", out: str = "embedding", rows_per_batch: int = 64, skip_failures: bool = False) -> DataFrame:
+    """rows with the vector of ``text``; each task embeds Arrow batches in calls of ``rows_per_batch`` texts.
+
+    A failing call fails the task; with ``skip_failures`` its texts are tried one by one,
+    and those that still fail get null.
+    """
     import pyarrow as pa
 
     rows = rows.withColumn("__text", prefixed(F.col(text), prefix))
@@ -87,13 +113,11 @@ def embed_column(rows: DataFrame, embedder, text: str, prefix: str = "", out: st
     kinds = ", ".join(f"`{c}` {t}" for c, t in rows.select(kept).dtypes)
 
     def task(batches):
+        misses = [0]
         for batch in batches:
             for i in range(0, len(batch), rows_per_batch):
                 part = batch.slice(i, rows_per_batch)
-                vectors = embedder.embed(part.column("__text").to_pylist())
-                for v in vectors:
-                    if len(v) != embedder.dimensions:
-                        raise ValueError(f"vector of {len(v)} dimensions, {embedder.dimensions} expected")
+                vectors = _vectors(embedder, part.column("__text").to_pylist(), skip_failures, misses)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(vectors, pa.list_(pa.float32()))], [*kept, out])
 
     return rows.select(*kept, "__text").mapInArrow(task, f"{kinds}, `{out}` array<float>")

@@ -161,17 +161,177 @@ def test_tool_server(spark, tmp_path, tree):
 
 
 def test_older_versions_are_read(spark, tmp_path, tree):
-    e = engine(spark, tmp_path, tree)
-    e.sync()
-    state = e.store.state()
-    path = f"{e.store.folder}/{state['snapshot']}/chunks"
-    rows = spark.read.parquet(path).drop("identifiers")
-    rows.write.parquet(f"{e.store.folder}/old/chunks")
-    e.store.set_state(snapshot="old", schema_version=1)
+    new = engine(spark, tmp_path, tree)
+    new.sync()
+    folder = f"file://{tmp_path}/older"
+    new.store.table("chunks").drop("identifiers", "n_terms").write.parquet(f"{folder}/old/chunks")
+    e = Engine(spark, folder, f"file://{tree}", CONFIG, embedder())
+    e.store.set_state(snapshot="old", schema_version=1, embedding_dimensions=16)
     assert "process_alpha" in " ".join(r.identifiers for r in e.store.table("chunks").collect())
     assert e.store.table("symbols").count() == 0
-    assert e.sync(force=True) == {"unchanged": 4} and e.store.state()["schema_version"] == 3
-    assert e.find_symbol("process_alpha")["found"]
+    assert e.search_code("process_alpha", mode="lexical")[0]["file"] == "src/alpha.js"
+    assert e.sync(force=True) == {"unchanged": 4} and e.store.state()["schema_version"] == 4
+    assert e.find_symbol("process_alpha")["found"] and e.index_status()["files"] == 4
+
+
+def stops(folder, word):
+    """An embedder that fails on texts that hold a word, and writes each text it embeds to a file of a folder."""
+
+    class Stops(HashEmbedder):
+        def embed(self, texts):
+            import uuid
+
+            if any(word and word in t for t in texts):
+                raise OSError("refused")
+            for t in texts:
+                with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                    f.write(t)
+            return HashEmbedder.embed(self, texts)
+
+    return Stops(16)
+
+
+def test_failed_files_are_left_for_the_next_run(spark, tmp_path, tree):
+    (tmp_path / "seen").mkdir()
+    e = engine(spark, tmp_path, tree, embedder=stops(tmp_path / "seen", "process_beta"))
+    assert e.sync() == {"added": 3, "failed": 1}
+    state = e.store.state()
+    assert state["sync_failed_files"] == 1 and not state.get("initial_index_complete") and state["sync_status"] == "idle"
+    assert not e.find_symbol("process_beta")["found"] and e.find_symbol("process_alpha")["found"]
+    before = sorted(f.read_text() for f in (tmp_path / "seen").iterdir())
+    again = engine(spark, tmp_path, tree, embedder=stops(tmp_path / "seen", ""))
+    assert again.sync() == {"added": 1, "unchanged": 3} and again.store.state()["initial_index_complete"]
+    after = sorted(f.read_text() for f in (tmp_path / "seen").iterdir())
+    others = [t for t in after if "beta" not in t]
+    assert others == [t for t in before if "beta" not in t] and len(set(others)) == len(others) and any("process_beta" in t for t in after)
+
+
+def test_an_interrupted_run_goes_on(spark, tmp_path, tree, monkeypatch):
+    """Windows of one file: what is committed before a crash is not embedded again."""
+    from lodestone.sources.snapshot import Snapshots
+
+    (tmp_path / "seen").mkdir()
+    config = {**CONFIG, "indexing": {"window": 1}}
+    make = lambda: Engine(spark, f"file://{tmp_path}/index", f"file://{tree}", config, stops(tmp_path / "seen", ""))
+    real, calls = Snapshots.append, []
+
+    def breaks(self, *a, **kw):
+        calls.append(1)
+        if len(calls) == 3:
+            raise OSError("killed")
+        real(self, *a, **kw)
+
+    monkeypatch.setattr(Snapshots, "append", breaks)
+    with pytest.raises(OSError, match="killed"):
+        make().sync()
+    done = {r.file_path for r in make().store.table("files").collect()}
+    assert 1 <= len(done) <= 2 and make().store.state()["sync_status"] == "error"
+    monkeypatch.setattr(Snapshots, "append", real)
+    first = [f.name for f in (tmp_path / "seen").iterdir()]
+    got = make().sync()
+    assert got["unchanged"] == len(done) and got["added"] == 4 - len(done)
+    texts = [f.read_text() for f in (tmp_path / "seen").iterdir() if f.name not in first]
+    assert all(f"process_{n}(" not in t.split("return")[0] for t in texts for n in ("alpha", "beta", "gamma") if f"src/{n}.js" in done)
+    assert make().store.state()["initial_index_complete"]
+
+
+def test_a_torn_state_leaves_the_one_before(spark, tmp_path, tree):
+    from lodestone.sources.snapshot import Damaged
+
+    e = engine(spark, tmp_path, tree)
+    e.sync()
+    newest = sorted((tmp_path / "index").glob("state-*.json"))[-1]
+    newest.with_name(f"state-{int(newest.name[6:-5]) + 1:012d}.json").write_text('{"segments": [')
+    assert e.index_status()["files"] == 4 and e.store.readable()
+    e.store.set_state(note="after")
+    assert e.store.state()["note"] == "after" and e.index_status()["files"] == 4
+    for f in (tmp_path / "index").glob("state-*.json"):
+        f.write_text("{")
+        (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(Damaged):
+        e.store.state()
+    assert e.index_status()["status"] == "damaged" and not e.store.readable()
+    assert e.sync() == {"added": 4} and e.index_status()["ok"]
+    part = next(p for p in (tmp_path / "index").glob("*/chunks/part-*.parquet") if p.stat().st_size > 100)
+    part.write_bytes(part.read_bytes()[:40])
+    (part.parent / f".{part.name}.crc").unlink(missing_ok=True)
+    assert not e.store.readable() and e.sync() == {"added": 4}
+
+
+def test_one_file_touches_one_segment(spark, tmp_path, tree, monkeypatch):
+    from lodestone.plans import engine as module
+
+    e = engine(spark, tmp_path, tree)
+    e.sync()
+    segments = e.store.state()["segments"]
+    read = []
+    real = module.read_paths
+    monkeypatch.setattr(module, "read_paths", lambda spark, root, names, kb: read.append(names) or real(spark, root, names, kb))
+    (tree / "src/alpha.js").write_text(source("alpha3"))
+    e.update_file("src/alpha.js")
+    assert read == [["src/alpha.js"]] and e.store.state()["segments"][:-1] == segments
+    terms = {r.term for r in e.store.table("postings").collect()}
+    assert "process" in terms and "alpha3" in terms
+    index = e.store.text_index()
+    chunks = e.store.table("chunks").collect()
+    assert (index.chunks, index.terms) == (len(chunks), sum(c.n_terms for c in chunks))
+    hits = {r.chunk_id for r in index.postings.collect()}
+    assert hits <= {c.chunk_id for c in chunks}
+    (tree / "src/alpha.js").unlink()
+    e.update_file("src/alpha.js")
+    assert e.index_status()["files"] == 3
+    before = {k: sorted(map(str, e.store.table(k).collect())) for k in ("chunks", "symbols", "refs", "files", "postings")}
+    e.store.compact()
+    e.store.prune()
+    assert len(e.store.state()["segments"]) == 1
+    assert before == {k: sorted(map(str, e.store.table(k).collect())) for k in before}
+
+
+def test_text_search_reads_its_terms_only(spark, tmp_path, tree):
+    from lodestone.operators import fulltext
+
+    e = engine(spark, tmp_path, tree)
+    e.sync()
+    queries = spark.createDataFrame([(0, "validate_alpha")], "query_id int, query_text string")
+    plan = fulltext.bm25(e.store.text_index(), queries)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "EqualTo(term,valid)" in plan or "term,valid" in plan.split("PushedFilters")[1]
+    assert "regexp_extract_all(translate" not in plan.split("PushedFilters")[1].split("\n")[0] and "chunk_text" not in plan
+
+
+def test_cancel(spark, tmp_path, tree):
+    from lodestone.plans.tools import session_text
+
+    e = engine(spark, tmp_path, tree)
+    assert e.cancel() == {"status": "no_process"} and session_text(e.index_status()) == ""
+    real = e._files
+    e._files = lambda: [real(), e.store.set_state(sync_cancel="9999")][0]
+    assert e.sync() == {"stopped": 1} and e.store.state()["sync_status"] == "idle" and not e.store.state().get("initial_index_complete")
+    e._files = real
+    assert e.sync() == {"added": 4}
+    assert "find_symbol(name)" in session_text(e.index_status())
+
+
+def test_git_decides_what_is_listed(spark, tmp_path, tree):
+    import os
+    import subprocess
+
+    from lodestone.sources.files import git_changed, list_files, walk
+
+    run = lambda *a: subprocess.run(["git", "-C", str(tree), "-c", "user.name=a", "-c", "user.email=a@b", *a], check=True, capture_output=True)
+    os.symlink(tree / "README.md", tree / "src/link.md")
+    os.symlink(tree / "src", tree / "also")
+    assert walk(str(tree), None) == ["README.md", "src/alpha.js", "src/beta.js", "src/gamma.js"] and len(walk(str(tree), 2)) == 2
+    run("init", "-q")
+    (tree / ".gitignore").write_text("src/gamma.js\nnode_modules\n")
+    run("add", "README.md", "src/alpha.js")
+    run("commit", "-q", "-m", "first", "--date", "2001-01-01T00:00:00Z")
+    names = lambda: {r.file_path for r in list_files(spark, f"file://{tree}").collect()}
+    assert names() == {"README.md", "src/alpha.js", "src/beta.js", ".gitignore"}
+    assert set(git_changed(str(tree), "2100-01-01")) == {"src/beta.js", ".gitignore", "src/link.md", "also"}
+    (tree / "src/alpha.js").write_text("function changed() {}")
+    e = engine(spark, tmp_path, tree)
+    assert "src/alpha.js" in e.changed_since("2100-01-01") and git_changed(str(tmp_path), "2001-01-01") is None
+    assert e.sync() == {"added": 3} and not e.find_symbol("process_gamma")["found"]
 
 
 def test_command_line(tmp_path, capsys):
