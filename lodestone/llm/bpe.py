@@ -138,7 +138,12 @@ def bpe_of(path: str) -> Bpe:
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids, decoded) of every whole text."""
+    """(doc_id, ids, decoded) of every whole text.
+
+    Null texts are empty; an empty text has no ids and decodes to itself. Rows map to
+    rows, repeated ones and those without id too; a text of any length is coded whole;
+    an empty table gives no rows; other columns are ignored.
+    """
 
     def task(batches):
         import pyarrow as pa

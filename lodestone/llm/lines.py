@@ -40,7 +40,8 @@ def drop_boilerplate(pages: DataFrame, ratio: float = 0.1, least: int = 5, host_
     """pages with the lines dropped that more than ``ratio`` of their host's pages contain.
 
     Columns stay, with kept in place of text and n_lines, n_dropped added. A line on
-    fewer than ``least`` pages of its host stays, and so do blank lines. A null host is a
+    fewer than ``least`` pages of its host stays (so that hosts of fewer pages keep all
+    lines), and so do blank lines. A null host is a
     host; a null text stays null with 0 lines; an empty text is one blank line. Repeated
     rows are pages of their own. Lines are equal if their text is.
     """

@@ -168,8 +168,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
     """Fit on ``most`` labelled rows that are not held out (least hash of the id; the bound of the sample).
 
     Only the sample's ids, at most ``most``, are broadcast, and only its features, 15
-    numbers a row, come to the driver. Rows with null id or label teach nothing; rows of
-    repeated ids all count.
+    numbers a row of ``most`` rows at most, come to the driver. Rows with null id or label
+    teach nothing; of repeated ids each row counts until the bound. Null and empty texts
+    have the features of an empty text, long ones are taken whole. Without labelled rows,
+    or with empty tables, the model scores 0.5. Other columns are ignored.
     """
     small_batches(docs.sparkSession, 500)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y"))
@@ -184,16 +186,21 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
             x = [features(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.list_(pa.float64())), batch.column("y")], ["doc_id", "x", "y"])
 
-    got = rows.select("doc_id", "text", "y").mapInArrow(task, "doc_id long, x array<double>, y double").toArrow()
+    got = rows.select("doc_id", "text", "y").mapInArrow(task, "doc_id long, x array<double>, y double")
+    got = got.orderBy(F.xxhash64("doc_id"), "doc_id", "y", "x").limit(most).toArrow()
     if not got.num_rows:
         return Model()
-    got = got.sort_by([("doc_id", "ascending"), ("y", "ascending")])
     x = np.array(got.column("x").to_pylist())
     return fit(x, np.array(got.column("y").to_pylist()), **options)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs' (doc_id, text) with ``score``: the probability of label 1, of empty and null texts too."""
+    """docs with ``score``: the probability of label 1, of empty and null texts too.
+
+    Rows map to rows, repeated ones too, with all their columns (one called ``score``
+    would clash and must be renamed first); a text of any length is taken whole; an
+    empty table gives no rows.
+    """
     small_batches(docs.sparkSession, 500)
 
     def task(batches):
@@ -208,7 +215,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of each row of docs; other columns are ignored."""
+    """(doc_id, held_out, score, predicted) of each row of docs, whatever its id, repeated or null, and its text; other columns are ignored."""
     model = train(docs, labels, **options)
     rows = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

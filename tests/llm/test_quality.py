@@ -61,3 +61,63 @@ def test_no_labels_and_empty(spark):
     one = classify(d, spark.createDataFrame([(1, 1, 0, "")], LABELS)).first()
     assert one.score >= 0.5
     assert features(None) == features("") == [0.0] * len(FEATURES)
+
+
+def plain_score(m, x):
+    """The model's tables, entry by entry."""
+    import math
+
+    place = lambda cuts, v: sum(c <= v for c in cuts)
+    bins = [place(c, v) for c, v in zip(m.cuts, x, strict=True)]
+    total = m.intercept + sum(t[b] for t, b in zip(m.mains, bins, strict=True)) + sum(t[bins[f], bins[g]] for f, g, t in m.pairs)
+    return 1 / (1 + math.exp(-total))
+
+
+def test_score_is_a_sum_of_table_entries(spark):
+    docs, labels = corpus(300, seed=4)
+    d = spark.createDataFrame(docs, DOCS)
+    m = train(d, spark.createDataFrame(labels, LABELS))
+    assert len(m.pairs) == 5 and any(t.any() for _, _, t in m.pairs)
+    text = {i: t for i, t, *_ in docs}
+    for r in classify(d, spark.createDataFrame(labels, LABELS)).collect():
+        assert abs(r.score - plain_score(m, features(text[r.doc_id]))) < 1e-12
+
+
+def test_trees_are_the_best_of_all():
+    """Against a search of every cut."""
+    from lodestone.llm.quality import _pair_tree, _tree
+
+    gain = lambda g, h: g * g / (h + 1)
+    r = np.random.default_rng(7)
+
+    def cut(g, h):
+        """(gain over no cut, first bin of the right side) of the best cut."""
+        whole = gain(g.sum(), h.sum())
+        return max(((gain(g[:k].sum(), h[:k].sum()) + gain(g[k:].sum(), h[k:].sum()) - whole, k) for k in range(1, len(g))), default=(0, 0))
+
+    for _ in range(200):
+        n = int(r.integers(1, 9))
+        g, h = r.normal(size=n), r.random(n) + 0.1
+        want, (more, k) = np.zeros(n), cut(g, h)
+        for part in ((slice(0, k), slice(k, n)) if more > 1e-9 else (slice(0, n),)):
+            more, j = cut(g[part], h[part])
+            j = part.start + j if more > 1e-9 else part.stop
+            for s in (slice(part.start, j), slice(j, part.stop)):
+                want[s] = g[s].sum() / (h[s].sum() + 1)
+        assert np.allclose(_tree(g, h), want)
+        g, h = r.normal(size=(n + 1, 4)), r.random((n + 1, 4)) + 0.1
+        best = 0.0
+        for a, b in ((g, h), (g.T, h.T)):
+            total, k = cut(a.sum(1), b.sum(1))
+            best = max(best, total + sum(cut(a[s].sum(0), b[s].sum(0))[0] for s in (slice(0, k), slice(k, len(a)))))
+        assert abs(_pair_tree(g, h)[1] - best) < 1e-9
+
+
+def test_long_texts_and_repeated_ids(spark):
+    """Texts are taken whole, and the rows that learning takes are bounded whatever ids repeat."""
+    long = "word and more. " * 200_000
+    assert features(long + "!!!! #### $$$$") != features(long) and all(np.isfinite(features(long)))
+    docs = [(1, f"some text {i}", "", "") for i in range(400)] + [(2, long, "", "")]
+    d, labels = spark.createDataFrame(docs, DOCS), spark.createDataFrame([(1, 1, 0, ""), (2, 0, 0, ""), (1, 0, 0, "")], LABELS)
+    got = classify(d, labels, most=50).collect()
+    assert len(got) == 401 and all(0 <= r.score <= 1 for r in got)
