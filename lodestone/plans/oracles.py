@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lodestone.functions import fixed as V
+from lodestone.functions.stem import STEP2, STEP3, STEP4
 from lodestone.plans import fixtures as X
 
 
@@ -105,6 +106,56 @@ SQL["bm25_or"] = bm25("FALSE") + RANKED
 SQL["bm25_and"] = bm25("TRUE") + RANKED
 SQL["bm25_tiered"] = bm25() + RANKED
 SQL["bm25_prefix"] = bm25(where="WHERE starts_with(lower(file_path), 'src1/')") + RANKED
+
+
+def porter_steps() -> str:
+    """CTEs from vocab (w) to stem (w, s), the published algorithm on distinct words; Y is a consonant y."""
+    v, c = "[aeiouy]", "[^aeiouy]"
+    cut = lambda n: f"left(x, length(x) - {n})"
+    m0 = lambda x: f"regexp_matches({x}, '^{c}*{v}+{c}')"
+    m1 = lambda x: f"regexp_matches({x}, '^{c}*{v}+{c}+{v}+{c}')"
+    cvc = lambda x: f"regexp_matches({x}, '{c}{v}[^aeiouywxY]$')"
+    double = f"(length(x) > 1 AND right(x, 1) = substr(x, length(x) - 1, 1) AND regexp_matches(x, '{c}$'))"
+    has = lambda x: f"regexp_matches({x}, '{v}')"
+    ends = lambda e: f"suffix(x, '{e}')"
+
+    def table(pairs, ok) -> str:
+        return "CASE " + " ".join(f"WHEN {ends(a)} THEN CASE WHEN {ok(a, cut(len(a)))} THEN {cut(len(a))} || '{b}' ELSE x END" for a, b in sorted(pairs, key=lambda ab: -len(ab[0]))) + " ELSE x END"
+
+    steps = [
+        f"CASE WHEN {ends('sses')} OR {ends('ies')} THEN {cut(2)} WHEN {ends('ss')} THEN x WHEN {ends('s')} THEN {cut(1)} ELSE x END",
+        # The mark ~ stands where ed or ing went.
+        f"CASE WHEN {ends('eed')} THEN CASE WHEN {m0(cut(3))} THEN {cut(1)} ELSE x END WHEN {ends('ed')} THEN CASE WHEN {has(cut(2))} THEN '~' || {cut(2)} ELSE x END WHEN {ends('ing')} AND {has(cut(3))} THEN '~' || {cut(3)} ELSE x END",
+        "CASE WHEN NOT starts_with(x, '~') THEN x ELSE (SELECT CASE WHEN regexp_matches(x, '(at|bl|iz)$') THEN x || 'e' "
+        f"WHEN {double} AND NOT regexp_matches(x, '[lsz]$') THEN {cut(1)} WHEN {m0('x')} AND NOT {m1('x')} AND {cvc('x')} THEN x || 'e' ELSE x END FROM (SELECT substr(z.x, 2) AS x)) END",
+        f"CASE WHEN regexp_matches(x, '[yY]$') AND {has(cut(1))} THEN {cut(1)} || 'i' ELSE x END",
+        table(STEP2.items(), lambda _, stem: m0(stem)),
+        table(STEP3.items(), lambda _, stem: m0(stem)),
+        table([(a, "") for a in STEP4], lambda a, stem: m1(stem) + (f" AND regexp_matches({stem}, '[st]$')" if a == "ion" else "")),
+        f"CASE WHEN {ends('e')} AND ({m1(cut(1))} OR {m0(cut(1))} AND NOT {cvc(cut(1))}) THEN {cut(1)} ELSE x END",
+        f"CASE WHEN {double} AND {ends('l')} AND {m1(cut(1))} THEN {cut(1)} ELSE x END",
+    ]
+    out = "z0 AS MATERIALIZED (SELECT w, regexp_replace(regexp_replace(regexp_replace(w, '^y', 'Y'), '([aeiou])y', '\\1Y', 'g'), 'yy', 'yY', 'g') AS x FROM vocab WHERE regexp_matches(w, '^[a-z]{3,}$'))"
+    for i, step in enumerate(steps, 1):
+        out += f",\nz{i} AS MATERIALIZED (SELECT w, {step} AS x FROM z{i - 1} z)"
+    return out + f",\nstem AS MATERIALIZED (SELECT w, lower(x) AS s FROM z{len(steps)} UNION ALL SELECT w, w FROM vocab WHERE NOT regexp_matches(w, '^[a-z]{{3,}}$'))"
+
+
+def porter() -> str:
+    """bm25() over stems: the tokens and the queries' terms are replaced by theirs."""
+    tk = f"""ub AS MATERIALIZED (SELECT chunk_id, file_path, fld, unnest(f) AS tok, generate_subscripts(f, 1) AS pos FROM (SELECT chunk_id, file_path, 0 AS fld, f0 AS f FROM fd UNION ALL SELECT chunk_id, file_path, 1, f1 FROM fd UNION ALL SELECT chunk_id, file_path, 2, f2 FROM fd)),
+vocab AS MATERIALIZED (SELECT DISTINCT tok AS w FROM ub UNION SELECT unnest(terms) FROM p0),
+{porter_steps()},
+p AS MATERIALIZED (SELECT query_id, phrase, narrow, tiered, list(s ORDER BY n) AS terms FROM (SELECT *, unnest(terms) AS t, generate_subscripts(terms, 1) AS n FROM p0) JOIN stem ON t = w GROUP BY ALL),
+tk AS MATERIALIZED (SELECT chunk_id, file_path, coalesce(list(s ORDER BY pos) FILTER (fld = 0), []) AS f0, coalesce(list(s ORDER BY pos) FILTER (fld = 1), []) AS f1, coalesce(list(s ORDER BY pos) FILTER (fld = 2), []) AS f2, count(*) AS n_terms
+  FROM ub JOIN stem ON tok = w GROUP BY chunk_id, file_path),
+"""
+    plain = bm25()
+    a, b = plain.index("tk AS MATERIALIZED"), plain.index("st AS (SELECT count(*) AS n_all")
+    return (plain[:a] + tk + plain[b:]).replace("p(query_id, phrase", "p0(query_id, phrase", 1)
+
+
+SQL["bm25_porter"] = porter() + RANKED
 SQL["bm25_phrase"] = bm25() + "SELECT query_id, phrase, chunk_id, CAST(tf AS BIGINT) AS tf FROM t"
 
 MULTIPLIER = """CASE WHEN regexp_matches(lower({p}), '(^|/)readme\\.md$') THEN 0.5::DOUBLE WHEN suffix(lower({p}), '.md') THEN 0.7
@@ -308,6 +359,38 @@ PREAMBLE = f"""WITH {CODE}, ln AS (SELECT file_path, unnest(string_split(content
 c AS (SELECT *, {BOUND} AS boundary, regexp_matches(line, {lit(V.COMMENT_LINE)}) AS comment FROM ln),
 s AS (SELECT *, NOT comment AND NOT (trim(line, ' ' || chr(9)) = '' AND coalesce(lag(comment) OVER (PARTITION BY file_path ORDER BY n), FALSE)) AS stop FROM c),
 b AS (SELECT *, coalesce(max(CASE WHEN stop THEN n END) OVER (PARTITION BY file_path ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS start FROM s)"""
+
+
+def fixed(pieces: str, most: int, overlap: int) -> str:
+    """CTEs from pieces (file_path, piece, base, lines) to cut (file_path, piece, k, s, e), lines of the file: chunks of ``most`` characters. Piece by piece as in chunk_fixed."""
+    return f"""
+fp AS (SELECT file_path, piece, base, lines, len(lines) AS n, list_prepend(0, list_transform(range(1, len(lines) + 1), lambda i: list_sum(list_transform(lines[1:i], lambda x: length(x) + 1)))) AS ps FROM {pieces}),
+fr AS (SELECT file_path, piece, 0 AS k, 1 AS s, list_filter(range(1, n + 1), lambda i: ps[i + 1] >= {most})[1] AS e FROM fp
+  UNION ALL SELECT file_path, piece, k + 1, s2, list_filter(range(e + 1, n + 1), lambda i: ps[i + 1] - ps[s2] >= {most})[1] FROM
+    (SELECT fr.file_path, fr.piece, k, e, n, ps, greatest(s, coalesce(list_max(list_filter(range(1, e + 1), lambda j: ps[e + 1] - ps[j] >= {overlap})), s)) AS s2 FROM fr JOIN fp USING (file_path, piece) WHERE e IS NOT NULL)),
+cut AS (SELECT file_path, piece, k, base + s - 1 AS s, base + coalesce(e, n) - 1 AS e FROM fr JOIN fp USING (file_path, piece))"""
+
+
+# Chunks at declarations where a file has two, else of fixed size; hybrid also divides those above the size.
+SYNTAX = PREAMBLE.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+al AS (SELECT file_path, string_split(content, chr(10)) AS lines FROM code),
+bs AS (SELECT file_path, list(start ORDER BY start) AS s FROM b WHERE boundary GROUP BY file_path HAVING count(*) >= 2),
+ra AS (SELECT file_path, lines, unnest(range(0, len(s) + 1)) AS i, s FROM bs JOIN al USING (file_path)),
+rb AS (SELECT file_path, lines, i, CASE WHEN i = 0 THEN 1 ELSE s[i] END AS first, CASE WHEN i < len(s) THEN s[i + 1] - 1 ELSE len(lines) END AS last FROM ra),
+sy AS (SELECT file_path, lines, i AS piece, CAST(first AS BIGINT) AS base, CAST(last AS BIGINT) AS last FROM rb WHERE last >= first AND (i > 0 OR regexp_matches(array_to_string(lines[first:last], ''), '\\S')))"""
+
+
+def chunked(strategy: str, most: int, overlap: int) -> str:
+    rest = "SELECT file_path, 0::BIGINT AS piece, 1::BIGINT AS base, lines FROM al WHERE file_path NOT IN (SELECT file_path FROM bs)"
+    own = "lines[base:last]"
+    whole = "TRUE" if strategy == "syntax" else f"length(array_to_string({own}, chr(10))) <= {most}"
+    return SYNTAX + f""", pc AS ({rest} UNION ALL SELECT file_path, piece, base, {own} FROM sy WHERE NOT ({whole})), {fixed('pc', most, overlap)},
+ch AS (SELECT file_path, piece, k, s, e FROM cut UNION ALL SELECT file_path, piece, 0, base, last FROM sy WHERE {whole})
+SELECT file_path, CAST(row_number() OVER (PARTITION BY file_path ORDER BY piece, k) - 1 AS INTEGER) AS chunk_index, CAST(s AS INTEGER) AS start_line, CAST(e AS INTEGER) AS end_line, md5(array_to_string(lines[s:e], chr(10))) AS md5 FROM ch JOIN al USING (file_path)"""
+
+
+SQL["chunk_syntax"] = chunked("syntax", 2048, 200)
+SQL["chunk_hybrid"] = chunked("hybrid", 80, 16)
 SQL["preamble_claim"] = PREAMBLE + " SELECT file_path, CAST(n AS INTEGER) AS n, CAST(start AS INTEGER) AS start FROM b WHERE boundary"
 
 # Index ----------------------------------------------------------------------
