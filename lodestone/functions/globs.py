@@ -73,7 +73,3 @@ def denied(path: Column, allow: Column, deny: Column, home: str) -> Column:
 
 def allowed(path: Column, allow: Column) -> Column:
     return F.exists(allow, lambda a: under(path, a))
-
-
-def prefix_ignoring_case(path: Column, prefix: str) -> Column:
-    return F.lower(path).startswith(prefix.lower())

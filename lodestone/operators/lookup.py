@@ -28,6 +28,7 @@ def files_matching(symbols: DataFrame, fragment: str, limit: int = 20) -> DataFr
 
 
 def files_defining(symbols: DataFrame, names: list[str]) -> DataFrame:
+    """(file_path) of the files that define any of the names."""
     return symbols.where(F.col("name").isin(list(names))).select("file_path").distinct()
 
 

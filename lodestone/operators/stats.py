@@ -85,9 +85,3 @@ def hit_rows(hits: DataFrame, chars: int, ellipsis: str = "") -> DataFrame:
     """Hits as shown: lines a-b, similarity and score to three decimals, the beginning of the text."""
     three = lambda c: F.round(F.col(c), 3).alias(c)
     return hits.select("query_id", "rank", F.col("file_path").alias("file"), F.concat_ws("-", "start_line", "end_line").alias("lines"), three("similarity"), three("score"), T.preview(F.col("chunk_text"), chars, ellipsis).alias("preview"))
-
-
-def as_json(rows: DataFrame, key: str = "query_id") -> DataFrame:
-    """(query_id, matches): each query's rows as one JSON array in rank order."""
-    inner = [c for c in rows.columns if c not in (key, "rank")]
-    return rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", F.struct(*inner).alias("m")))).alias("a")).select(key, F.to_json(F.transform("a", lambda x: x["m"])).alias("matches"))

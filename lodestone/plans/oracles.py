@@ -286,6 +286,7 @@ dd AS (SELECT file_path, regexp_extract(lower(line), '^([a-z]+)', 1) AS name, CA
 SQL["find_symbol"] = f"WITH {DOC_DEFS} SELECT file_path, 'word' AS kind, n AS line FROM dd WHERE name = 'the'"
 SQL["find_references"] = REFS + " SELECT DISTINCT 'defined_in' AS relation, file_path FROM defs WHERE name = 'signIn' UNION ALL SELECT 'referenced_by', file_path FROM refs WHERE name = 'signIn'"
 SQL["outline"] = DEFS + " SELECT name, kind, line FROM defs WHERE file_path = 'src/auth.ts'"
+SQL["files_defining"] = f"WITH {DOC_DEFS} SELECT DISTINCT file_path FROM dd WHERE name IN ('the', 'thing', 'and', 'nowhere')"
 SQL["path_fragment"] = f"WITH {DOC_DEFS} SELECT DISTINCT file_path FROM dd WHERE contains(lower(file_path), 'c1/en/1') ORDER BY file_path LIMIT 20"
 
 
@@ -399,6 +400,7 @@ LINES = f"WITH f AS (SELECT doc_id, {DOC_PATH} AS file_path, text AS content FRO
 SQL["index_stats"] = LINES + " SELECT count(DISTINCT file_path) AS files, count(*) AS chunks FROM c"
 SQL["file_stats"] = LINES + " SELECT file_path, count(*) AS chunks, max(doc_id * 60 + chunk_index) AS last_updated FROM c GROUP BY file_path"
 SQL["ext_counts"] = LINES + " SELECT '.' || split_part(file_path, '.', -1) AS ext, count(DISTINCT file_path) AS files FROM f GROUP BY 1"
+SQL["ext_grid"] = LINES + " SELECT '.' || split_part(file_path, '.', -1) AS ext, count(*) AS files, CAST(floor(count(*)::DOUBLE / (SELECT count(*) FROM f) * 20 + 0.5) AS INTEGER) AS cells FROM f GROUP BY 1"
 SQL["mean_chunks"] = LINES + " SELECT floor(count(*)::DOUBLE / count(DISTINCT file_path) * 10 + 0.5) / 10 AS mean_chunks FROM c"
 SQL["coverage"] = LINES + """ SELECT i AS indexed, e AS eligible, CAST(floor(100.0 * i / e + 0.5) AS INTEGER) AS percent, floor(100.0 * i / e + 0.5) < 75 AS low
  FROM (SELECT count(DISTINCT file_path) AS i FROM c WHERE doc_id % 3 <> 0), (SELECT count(DISTINCT file_path) AS e FROM f)"""

@@ -256,6 +256,10 @@ def outline(spark, sf):
     return lookup.outline(code_symbols(spark), "src/auth.ts")
 
 
+def files_defining(spark, sf):
+    return lookup.files_defining(doc_defs(spark, sf), ["the", "thing", "and", "nowhere"])
+
+
 def path_fragment(spark, sf):
     return lookup.files_matching(doc_defs(spark, sf), "C1/EN/1")
 
@@ -351,6 +355,11 @@ def ext_counts(spark, sf):
     return stats.extension_counts(doc_files(spark, sf))
 
 
+def ext_grid(spark, sf):
+    files = doc_files(spark, sf)
+    return stats.grid(stats.extension_counts(files), files.count())
+
+
 def mean_chunks(spark, sf):
     return stats.mean_chunks(line_chunks(spark, sf))
 
@@ -459,7 +468,7 @@ ALL = (
     knn_topk, knn_threshold, knn_prefix_compat, knn_prefix_exact, knn_multi_query, bm25_or, bm25_and, bm25_tiered, bm25_prefix, bm25_porter, bm25_phrase,
     lexical_search, rrf_fusion, hybrid_search, hybrid_debug, hybrid_graph, merged_hits, identifier_split, fts_query_compile, identifier_boost,
     file_type_multiplier, synonym_expand, language_of, strip_noise, extract_definitions, extract_references, find_symbol, find_references, outline,
-    path_fragment, file_graph_raw, file_graph_binary, file_graph_sqrt, file_graph_max_definers, ppr, graph_expand, chunk_fixed, chunk_syntax,
+    path_fragment, files_defining, ext_grid, file_graph_raw, file_graph_binary, file_graph_sqrt, file_graph_max_definers, ppr, graph_expand, chunk_fixed, chunk_syntax,
     chunk_hybrid, preamble_claim, index_stats, file_stats, ext_counts, mean_chunks, coverage, health, sync_progress, shown_sizes, diff_files,
     gc_orphans, upsert_chunks, orphan_chunks, embedded_documents, stream_upsert, eligible_files, acl_filter, route_query, shell_pattern, shown_hits,
 )

@@ -217,7 +217,7 @@ def test_an_interrupted_run_goes_on(spark, tmp_path, tree, monkeypatch):
 
     def breaks(self, *a, **kw):
         calls.append(1)
-        if len(calls) == 3:
+        if len(calls) == 2:
             raise OSError("killed")
         real(self, *a, **kw)
 
@@ -225,7 +225,7 @@ def test_an_interrupted_run_goes_on(spark, tmp_path, tree, monkeypatch):
     with pytest.raises(OSError, match="killed"):
         make().sync()
     done = {r.file_path for r in make().store.table("files").collect()}
-    assert 1 <= len(done) <= 2 and make().store.state()["sync_status"] == "error"
+    assert 1 <= len(done) <= 3 and make().store.state()["sync_status"] == "error"
     monkeypatch.setattr(Snapshots, "append", real)
     first = [f.name for f in (tmp_path / "seen").iterdir()]
     got = make().sync()
@@ -327,10 +327,10 @@ def test_git_decides_what_is_listed(spark, tmp_path, tree):
     run("commit", "-q", "-m", "first", "--date", "2001-01-01T00:00:00Z")
     names = lambda: {r.file_path for r in list_files(spark, f"file://{tree}").collect()}
     assert names() == {"README.md", "src/alpha.js", "src/beta.js", ".gitignore"}
-    assert set(git_changed(str(tree), "2100-01-01")) == {"src/beta.js", ".gitignore", "src/link.md", "also"}
+    assert set(git_changed(str(tree), "2099-01-01")) == {"src/beta.js", ".gitignore", "src/link.md", "also"}
     (tree / "src/alpha.js").write_text("function changed() {}")
     e = engine(spark, tmp_path, tree)
-    assert "src/alpha.js" in e.changed_since("2100-01-01") and git_changed(str(tmp_path), "2001-01-01") is None
+    assert "src/alpha.js" in e.changed_since("2099-01-01") and git_changed(str(tmp_path), "2001-01-01") is None
     assert e.sync() == {"added": 3} and not e.find_symbol("process_gamma")["found"]
 
 
