@@ -173,6 +173,18 @@ def hybrid_search(spark, sf):
     return _six(_hybrid(spark, sf), "similarity", "score")
 
 
+def hybrid_batch(spark, sf, each: int = 2):
+    """Hybrid search of ``each`` queries a benchmark item (its first words, with some vector): what the bench takes throughput from."""
+    words = F.split(F.regexp_replace("text", r"\s+", " "), " ")
+    items = table(spark, sf, "benchmark").select("item_id", words.alias("w"))
+    n = table(spark, sf, "embeddings").agg(F.max("vec_id") + 1).first()[0]
+    rows = items.select("item_id", "w", F.explode(F.sequence(F.lit(0), F.lit(each - 1))).alias("i"))
+    rows = rows.select((F.col("item_id") * each + F.col("i")).cast("int").alias("query_id"), F.array_join(F.slice("w", F.col("i") * 4 + 1, F.lit(4)), " ").alias("query_text"))
+    vectors = table(spark, sf, "embeddings").select((F.col("vec_id") % n).alias("v"), F.col("embedding").alias("vec"))
+    queries = materialize(rows.join(vectors, (F.col("query_id") * 7) % n == F.col("v")).drop("v"), "queries")
+    return fusion.hybrid_search(doc_chunks(spark, sf), doc_index(spark, sf, True), queries, None, {"weight_graph": 0}, threshold=0.05)
+
+
 def hybrid_debug(spark, sf):
     rows = _hybrid(spark, sf, debug=True).select("query_id", "rank", "chunk_id", "debug.vec_rank", "debug.fts_rank", "debug.multiplier", "debug.boost", "debug.in_file")
     return rows
