@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -22,8 +21,10 @@ BUCKET, HOT = 1 << 19, 1 << 20
 SHARDS = 4
 #: Windows of a piece at most.
 LONGEST = 4096
-#: Repeated anchors are listed in one file up to so many (8 bytes each), joined by document beyond.
-LISTED = 4 << 20
+#: Repeated anchors are marked in a table of bits, which each worker holds, up to so many; joined by document beyond.
+LISTED = 128 << 20
+#: Bits for each of them, two of which are set; bits of the table at most (128 MB), and of the parts it is made in.
+SPARSE, MARKS, PART = 16, 1 << 30, 1 << 23
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -230,18 +231,64 @@ class _Pieces:
         return out
 
 
+def _marks(keys: np.ndarray, bits: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(part, first, second): the two bits of each key in a table of ``bits``, in parts of ``size``, both powers of two; they are in one part."""
+    x = keys.view(np.uint64) * _GOLD
+    x = (x ^ (x >> np.uint64(29))) * _M1
+    x ^= x >> np.uint64(32)
+    low, wide = np.uint64(size - 1), np.uint64(size.bit_length() - 1)
+    y = (x * _M2) >> np.uint64(64 - int(wide))
+    return ((x >> wide) & np.uint64(bits // size - 1)).astype(np.int64), (x & low).astype(np.int64), y.astype(np.int64)
+
+
+def _mark(places: DataFrame, total: int) -> tuple[str, int, int]:
+    """(folder, bits, size): the written table of bits of the ``total`` anchors of places (key), a row for each part of ``size``."""
+    spark = places.sparkSession
+    bits = min(MARKS, 1 << max(10, (SPARSE * total - 1).bit_length()))
+    size = min(bits, PART)
+
+    def deal(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            part, first, second = _marks(batch.column("key").to_numpy(), bits, size)
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(first.astype(np.int32)), pa.array(second.astype(np.int32))], ["part", "first", "second"])
+
+    def fill(table):
+        import pyarrow as pa
+
+        own = np.zeros(size, bool)
+        own[table.column("first").to_numpy()] = own[table.column("second").to_numpy()] = True
+        return pa.table({"part": table.column("part").slice(0, 1), "bits": pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())})
+
+    folder = fresh_dir(spark, "suffix-marks")
+    rows = places.mapInArrow(deal, "part long, first int, second int")
+    rows.groupBy("part").applyInArrow(fill, "part long, bits binary").write.parquet(folder)
+    return folder, bits, size
+
+
 @functools.lru_cache(1)
-def _listed(folder: str, _run: str) -> np.ndarray:
+def _marked(folder: str, bits: int, size: int) -> np.ndarray:
     import pyarrow.parquet as pq
     from pyarrow import fs as pafs
 
     fs, path = filesystem(folder)
-    parts = []
+    out = np.zeros(bits // 8, np.uint8)
     for f in fs.get_file_info(pafs.FileSelector(path)):
         if f.path.endswith(".parquet"):
             with fs.open_input_file(f.path) as stream:
-                parts.append(pq.read_table(stream).column("key").to_numpy())
-    return np.sort(np.concatenate([np.zeros(0, np.int64), *parts]))
+                for batch in pq.ParquetFile(stream).iter_batches(8):
+                    for part, own in zip(batch.column("part").to_pylist(), batch.column("bits").to_pylist(), strict=True):
+                        out[part * size // 8 : (part + 1) * size // 8] = np.frombuffer(own, np.uint8)
+    return out
+
+
+def _probably(x: np.ndarray, folder: str, bits: int, size: int) -> np.ndarray:
+    """Whether both bits of each key are set: of all keys that were marked, and of few others."""
+    known = _marked(folder, bits, size)
+    part, first, second = _marks(x, bits, size)
+    first, second = part * size + first, part * size + second
+    return (known[first >> 3] >> (first & 7) & known[second >> 3] >> (second & 7) & 1).astype(bool)
 
 
 def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -254,7 +301,8 @@ def candidate_pieces(docs: DataFrame, width: int) -> DataFrame:
     """PIECES of (doc, text): the runs of windows whose anchor stands in another place too.
 
     A window whose anchor stands nowhere else is no copy of anything, so nothing else is
-    left out. Anchors are counted in each batch before they are shuffled.
+    left out. Anchors are counted in each batch before they are shuffled. The bits that
+    mark the repeated ones let a few of the others pass, whose pieces are found alone.
     """
     spark = docs.sparkSession
     small_batches(spark, 2000)
@@ -272,7 +320,7 @@ def candidate_pieces(docs: DataFrame, width: int) -> DataFrame:
     places.select("key").write.parquet(folder)
     places = spark.read.schema("key long").parquet(folder)
 
-    def cut(batches, known_of):
+    def cut(batches, is_known):
         for batch in batches:
             out = _Pieces()
             texts = batch.column("text").to_pylist()
@@ -280,14 +328,15 @@ def candidate_pieces(docs: DataFrame, width: int) -> DataFrame:
                 raw = (text or "").encode()
                 key, start, n = runs(raw, width)
                 key = key.view(np.int64)
-                for j in np.flatnonzero(_among(key, known_of(batch, i))).tolist():
+                for j in np.flatnonzero(is_known(key, batch, i)).tolist():
                     a = int(start[j])
                     out.add(doc, a, raw[a : a + int(n[j]) + width - 1], int(key[j]), -1, -1)
             yield out.batch()
 
-    if places.count() <= LISTED:
-        run = uuid.uuid4().hex
-        task = lambda batches: cut(batches, lambda batch, i: _listed(folder, run))
+    total = places.count()
+    if total <= LISTED:
+        marks = _mark(places, total)
+        task = lambda batches: cut(batches, lambda key, batch, i: _probably(key, *marks))
         return docs.select("doc", "text").mapInArrow(task, PIECES)
 
     def pairs(batches):
@@ -301,7 +350,7 @@ def candidate_pieces(docs: DataFrame, width: int) -> DataFrame:
     small_batches(spark, 500)
     own = docs.select("doc", "text").mapInArrow(pairs, "doc long, key long").join(places, "key", "left_semi")
     own = own.groupBy("doc").agg(F.array_sort(F.collect_list("key")).alias("keys"))
-    task = lambda batches: cut(batches, lambda batch, i: np.array(batch.column("keys")[i].as_py(), np.int64))
+    task = lambda batches: cut(batches, lambda key, batch, i: _among(key, np.array(batch.column("keys")[i].as_py(), np.int64)))
     return docs.select("doc", "text").join(own, "doc").mapInArrow(task, PIECES)
 
 

@@ -95,3 +95,33 @@ def test_repeats_within_one_piece(spark):
     want = brute(list(enumerate(texts)))
     assert [w[2] > 0 for w in want] == [True, True, True, False]
     assert sorted(map(tuple, m.digests(docs).collect()), key=str) == want
+
+
+def test_more_anchors_than_a_list_holds(spark, monkeypatch):
+    """Beyond four million repeated anchors workers still look them up in a table, and no document is joined to its anchors."""
+    assert m.LISTED >= 100 << 20  # 6 GB of documents have about 25 million, 30 GB 125 million
+    plans, candidates = [], m.candidate_pieces
+
+    def seen(docs, width):
+        out = candidates(docs, width)
+        plans.append(out._jdf.queryExecution().toString())
+        return out
+
+    monkeypatch.setattr(m, "candidate_pieces", seen)
+    rows = list(enumerate(corpus(5)))
+    docs = spark.createDataFrame([(i, t, "", "", "") for i, t in rows], SCHEMA)
+    # A table in several parts; one so full that almost every anchor passes.
+    for marks, part in ((1 << 30, 1 << 10), (1 << 10, 1 << 10)):
+        monkeypatch.setattr(m, "MARKS", marks)
+        monkeypatch.setattr(m, "PART", part)
+        assert sorted(map(tuple, m.digests(docs).collect()), key=str) == brute(rows)
+    assert len(plans) == 2 and not any("Join" in p for p in plans)
+
+
+def test_marked_keys_are_found(spark, monkeypatch):
+    monkeypatch.setattr(m, "PART", 1 << 14)
+    keys = np.random.default_rng(1).integers(-(1 << 63), 1 << 63, 30_000)
+    places = spark.createDataFrame([(int(k),) for k in keys[:10_000]], "key long").repartition(3)
+    folder, bits, size = m._mark(places, 10_000)
+    found = m._probably(keys, folder, bits, size)
+    assert (bits, size) == (1 << 18, 1 << 14) and found[:10_000].all() and found[10_000:].mean() < 0.02
