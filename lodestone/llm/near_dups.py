@@ -18,7 +18,7 @@ from lodestone.plans.storage import materialize
 SHINGLE, LIKENESS = 5, 0.8
 #: Shingle likeness below which two texts are not aligned: that of texts with a tenth of their words changed is 0.4.
 LOOSE = 0.3
-#: The same for pairs beside the central texts of their buckets: a twentieth of the words changed gives 0.6.
+#: What _across() asks for unless it is told; classes() has it ask for LOOSE.
 ACROSS = 0.5
 #: Sketches (number, k-mers of each, fewest and most shingles of the texts that get them). Texts with a
 #: tenth of their words changed share one with chance 0.95, with a twentieth, or a fifth in one place, 0.999 and more.
@@ -30,6 +30,8 @@ FINER = ((96, 8, 50, 1 << 62), (32, 4, 16, 64), (20, 3, 0, 20))
 CELLS = 1 << 19
 #: Members of a bucket that are compared in one task.
 BLOCK = 512
+#: Rows of small buckets that are compared in one task; columns of a step of counting what sets share.
+BUNDLE, COLUMNS = 2000, 4096
 #: Tables of a few numbers a row are joined by broadcast up to so many rows (64 bytes each at most), by a shuffle beyond.
 BROADCAST_ROWS = 250_000
 
@@ -235,8 +237,15 @@ def _node(id_col: Column, text: Column) -> Column:
     return F.coalesce(id_col.cast("long"), -F.abs(F.xxhash64(text).bitwiseAND(F.lit((1 << 62) - 1))) - 1)
 
 
+def bag(text: str) -> np.ndarray:
+    """Hashes of the text's words, each with how many equal ones come before it, in 32 bits."""
+    words = WORD(text.lower()) or [text]
+    w = np.fromiter(map(_words(), words), np.uint64, len(words))
+    return np.unique(_mix(w + occurrences(w).astype(np.uint64) * np.uint64(_GOLD)).astype(np.uint32)).view(np.int32)
+
+
 def sketch(docs: DataFrame, families=FAMILIES, with_grams: bool = False) -> DataFrame:
-    """(node, print, keys, grams) of each row of (doc_id, text); grams: the distinct shingles, in 32 bits, if asked for."""
+    """(node, print, keys, grams, bag) of each row of (doc_id, text); grams: the distinct shingles, in 32 bits, and the bag if asked for."""
 
     def task(batches):
         import pyarrow as pa
@@ -245,13 +254,14 @@ def sketch(docs: DataFrame, families=FAMILIES, with_grams: bool = False) -> Data
             texts = batch.column("text").to_pylist()
             keys = [sketches(t, families) for t in texts]
             grams = [np.unique(shingles(t).astype(np.uint32)).view(np.int32) for t in texts] if with_grams else [None] * len(texts)
+            bags = [bag(t) for t in texts] if with_grams else grams
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), batch.column("print"), pa.array(keys, pa.list_(pa.int64())), pa.array(grams, pa.list_(pa.int32()))], ["node", "print", "keys", "grams"]
+                [batch.column("node"), batch.column("print"), pa.array(keys, pa.list_(pa.int64())), *(pa.array(x, pa.list_(pa.int32())) for x in (grams, bags))], ["node", "print", "keys", "grams", "bag"]
             )
 
     small_batches(docs.sparkSession, 500)
     rows = docs.select(_node(F.col("doc_id"), F.col("text")).alias("node"), F.md5("text").alias("print"), "text")
-    return rows.mapInArrow(task, "node long, print string, keys array<long>, grams array<int>")
+    return rows.mapInArrow(task, "node long, print string, keys array<long>, grams array<int>, bag array<int>")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -344,8 +354,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
        leaves the two apart, so that a group costs about a pair a member, whatever its size;
     2. texts of buckets that still hold several classes get longer sketches, by which
        they are compared in the same way;
-    3. of all pairs of different classes that still share such a sketch, those whose
-       shingle sets are alike, which the join itself decides.
+    3. all pairs of different classes that still share a sketch, of these or the longer
+       ones, but those whose words or shingles in common are too few for near().
 
     No bucket is capped; a bucket beyond BLOCK members is compared in blocks. Texts of
     fewer than five words are near copies if their words are equal; texts without words
@@ -385,10 +395,11 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     if not open_.isEmpty():
         texts = materialize(sketch(_texts(open_.select("node"), docs).select("doc_id", "text"), FINER, with_grams=True), "near-finer")
         finer = _shared(_keyed(texts, once))
-        for pairs_of in (lambda x: _to_heads(x).select("a", "b"), lambda x: _across(x, texts)):
-            open_ = _open(finer, labels)
+        steps = ((finer, lambda x: _to_heads(x).select("a", "b")), (shared.union(finer), lambda x: _across(_unlike(x), texts, LOOSE)))
+        for buckets, pairs_of in steps:
+            open_ = _open(buckets, labels)
             if open_.isEmpty():
-                break
+                continue
             pairs = pairs_of(open_).join(_small(tried), ["a", "b"], "left_anti")
             pairs = materialize(_labelled_pairs(pairs, labels).select("a", "b"), "near-pairs")
             more = verify(pairs, docs)
@@ -454,28 +465,83 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
-def _across(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs of different classes that share a bucket and whose shingle sets are alike; others are not made.
+def _unlike(rows: DataFrame) -> DataFrame:
+    """The rows (key, node, n, label) of one of the buckets that have the same members."""
+    own = rows.groupBy("key").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.count("*").alias("k"))
+    return met(rows, own.groupBy("x", "y", "k").agg(F.min("key").alias("key")).select("key"), "key", "node")
+
+
+def _in_common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of the sets have in common (not of a set with itself)."""
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = n > 1
+    kept = shared[column]
+    row, column = row[kept], (np.cumsum(shared) - 1)[column[kept]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for a in range(0, int(shared.sum()), COLUMNS):
+        lo, hi = np.searchsorted(column, (a, a + COLUMNS))
+        has = np.zeros((len(sets), min(COLUMNS, int(column[hi - 1]) + 1 - a)), np.float32)
+        has[row[lo:hi], column[lo:hi] - a] = 1
+        out += has @ has.T
+    return out
+
+
+def _alike(node, label, block, two: bool, grams, bags, likeness: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes of different labels, across the blocks if they are two, whose bags and shingle sets near() may accept."""
+    ok = (label[:, None] != label) & ((block[:, None] < block) if two else (node[:, None] < node))
+    if ok.any() and bags[0] is not None:
+        size = np.array([len(x) for x in bags])
+        least = LIKENESS * np.maximum(size[:, None], size) - 2  # hashes of two words may agree
+        ok &= np.minimum(size[:, None], size) >= least
+        if ok.any():
+            ok &= _in_common(bags) >= least
+    at = np.flatnonzero(ok.any(0) | ok.any(1))
+    if not len(at):
+        return node[:0], node[:0]
+    ok, node, grams = ok[np.ix_(at, at)], node[at], [grams[i] for i in at]
+    size = np.array([len(x) for x in grams])
+    ok &= _in_common(grams) >= likeness / (1 + likeness) * (size[:, None] + size) - 1
+    i, j = np.nonzero(ok)
+    return node[i], node[j]
+
+
+def _across(rows: DataFrame, texts: DataFrame, likeness: float = ACROSS) -> DataFrame:
+    """Pairs of different classes that share a bucket and whose bags and shingle sets are alike; others are not made.
 
     ``rows`` are (key, node, n, label), n the members of the bucket, which it may leave out.
 
     The members of a large bucket are dealt into blocks, and the blocks meet in pairs,
-    so that no task compares a whole bucket.
+    so that no task compares a whole bucket. Small buckets are compared many to a task.
     """
     if "n" not in rows.columns:
         rows = met(rows, rows.groupBy("key").agg(F.count("*").alias("n")), "key", "node")
+    if "bag" not in texts.columns:
+        texts = texts.withColumn("bag", F.lit(None).cast("array<int>"))
     blocks = F.ceil(F.col("n") / BLOCK)
-    rows = rows.select("key", "node", "label", F.pmod(F.xxhash64("node"), blocks).alias("block"), (blocks - 1).alias("last"))
-    rows = rows.join(texts.select("node", "grams"), "node")
-    x = rows.select("key", F.col("block").alias("i"), F.explode(F.sequence("block", "last")).alias("j"), *[F.col(c).alias(f"p_{c}") for c in ("node", "label", "grams")])
-    y = rows.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("block"))).alias("i"), F.col("block").alias("j"), *[F.col(c).alias(f"q_{c}") for c in ("node", "label", "grams")])
-    least = ACROSS / (1 + ACROSS) * (F.size("p_grams") + F.size("q_grams")) - 1
-    # Beyond this difference in length no alignment is near enough.
-    sizes = (F.size("p_grams") >= least) & (F.size("q_grams") >= least)
-    alike = F.size(F.array_intersect("p_grams", "q_grams")) >= least
-    once = (F.col("p_label") != F.col("q_label")) & ((x["i"] < x["j"]) | (F.col("p_node") < F.col("q_node")))
-    alike_pairs = x.join(y, (x["key"] == y["key"]) & (x["i"] == y["i"]) & (x["j"] == y["j"]) & once & F.when(sizes, alike).otherwise(F.lit(False)))
-    return _ordered(alike_pairs.select(F.col("p_node").alias("p"), F.col("q_node").alias("q")))
+    rows = rows.select("key", "node", "label", F.pmod(F.xxhash64("node"), blocks).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    rows = materialize(rows.select("key", "node", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")), "near-blocks")
+    bundles = max(1, rows.count() // BUNDLE)
+    rows = rows.withColumn("bundle", F.pmod(F.xxhash64("key", "i", "j"), F.lit(bundles))).join(texts.select("node", "grams", "bag"), "node")
+
+    def task(table):
+        import pyarrow as pa
+
+        key, i, j, node, label, block = (table.column(c).to_numpy() for c in ("key", "i", "j", "node", "label", "block"))
+        grams, bags = (table.column(c).to_pandas().to_numpy() for c in ("grams", "bag"))
+        order = np.lexsort((j, i, key))
+        moved = (np.diff(key[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)
+        found = [np.zeros((2, 0), np.int64)]
+        for at in np.split(order, np.flatnonzero(moved) + 1):
+            if len(at) > 1:
+                found.append(np.stack(_alike(node[at], label[at], block[at], i[at[0]] < j[at[0]], grams[at], bags[at], likeness)))
+        p, q = np.concatenate(found, 1)
+        return pa.table({"p": pa.array(p, pa.int64()), "q": pa.array(q, pa.int64())})
+
+    rows = rows.select("bundle", "key", "i", "j", "node", "label", "block", "grams", "bag")
+    return _ordered(rows.groupBy("bundle").applyInArrow(task, "p long, q long"))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

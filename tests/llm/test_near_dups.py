@@ -208,3 +208,32 @@ def test_finer_sketches_meet_at_the_least_likeness(long, short):
         w = words(r, long + 4)
         missed += not set(sketches(" ".join(w), FINER)) & set(sketches(" ".join(w[: short + 4]), FINER))
     assert missed == 0
+
+
+def test_no_pair_that_shares_a_sketch_is_left_out(spark):
+    """Pairs that meet in the buckets of a common passage only, whose central text is like neither, are decided too."""
+    r = random.Random(6)
+    passage, texts = words(r, 80), []
+    for _ in range(60):
+        texts.append(" ".join([*passage, *words(r, 120)]))
+    for _ in range(40):
+        own = words(r, 120)
+        other = [f"x{r.randrange(99_999)}" if i % 6 == 3 else w for i, w in enumerate(own)]
+        texts += [" ".join([*passage, *own]), " ".join([*passage, *other])]
+    docs = spark.createDataFrame([(i, t, "", "", "") for i, t in enumerate(texts)], SCHEMA)
+    got = {x.doc_id: x.class_id for x in classes(docs.repartition(3)).collect()}
+    keys, t = [set(sketches(x)) for x in texts], [Text(x) for x in texts]
+    want = [(i, j) for j in range(len(texts)) for i in range(j) if keys[i] & keys[j] and near(t[i], t[j])]
+    assert len(want) > 15
+    assert [p for p in want if got[p[0]] != got[p[1]]] == []
+    assert len(set(got.values())) >= 100
+
+
+def test_counts_in_common(monkeypatch):
+    from lodestone.llm import near_dups
+
+    monkeypatch.setattr(near_dups, "COLUMNS", 7)
+    g = np.random.default_rng(3)
+    sets = [np.unique(g.integers(0, 60, n)) for n in (1, 30, 40, 8, 25)]
+    got = near_dups._in_common(sets)
+    assert all(got[i, j] == len(set(sets[i]) & set(sets[j])) for i in range(5) for j in range(5) if i != j)
