@@ -130,6 +130,42 @@ def test_graph_weights(spark):
     assert edges("raw", 1) == {("a", "b"): 2.0}
 
 
+def linked_files(n, seed):
+    """Rows (file, name) of references and definitions of n files: names of all files, of some, of one."""
+    r = random.Random(seed)
+    names = ["all", *(f"some{i}" for i in range(6)), *(f"one{i}" for i in range(n))]
+    refs = [(f"f{i}", x) for i in range(n) for x in {"all", r.choice(names), r.choice(names), f"one{i}"}]
+    return refs, [(x, f"f{i}") for i in range(n) for x in {r.choice(names[:7]), f"one{i}", "all"} if i % 3 or x != "all"]
+
+
+def brute_graph(refs, defs):
+    edges = {}
+    for name in {x for x, _ in defs}:
+        of = {f for x, f in defs if x == name}
+        for a in {f for f, x in refs if x == name}:
+            for b in of - {a}:
+                edges[a, b] = edges.get((a, b), 0) + 1 / len(of)
+    return edges
+
+
+def graph_tables(spark, refs, defs):
+    return spark.createDataFrame(refs, "file_path string, name string"), spark.createDataFrame(defs, "name string, file_path string")
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("block", [1 << 18, 4])
+def test_edges_are_not_shuffled(spark, monkeypatch, block):
+    monkeypatch.setattr(graph, "BLOCK", block, raising=False)
+    refs, defs = linked_files(30, 5)
+    edges = graph.file_graph(*graph_tables(spark, refs + [(None, "all")], defs + [("none", None)]))
+    assert "Exchange" not in plan(edges)
+    rows = [((e.src, e.dst), e.weight) for e in edges.collect()]
+    assert dict(rows) == pytest.approx(brute_graph(refs, defs)) and len(rows) == len(dict(rows)) > 300
+
+
 def brute_ppr(edges, seeds, steps=20):
     nodes = {x for a, b, _ in edges for x in (a, b)} | set(seeds)
     total = sum(seeds.values())
