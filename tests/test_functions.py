@@ -187,6 +187,19 @@ def test_pagerank(spark):
     assert graph.pagerank(spark.createDataFrame(edges, "src string, dst string, weight double"), none).count() == 0
 
 
+@pytest.mark.parametrize("queries", [3, graph.BESIDE + 4])
+def test_walk_joins_ranks_to_files(spark, queries):
+    """A step has a row a file, not a reference, and few queries side by side; ranks are those of the edges."""
+    refs, defs = linked_files(25, 6)
+    edges = [(a, b, w) for (a, b), w in brute_graph(refs, defs).items()]
+    seeds = {q: {f"f{q}": 1.0, "elsewhere": 0.5, f"f{q % 3 + 7}": 2.0} for q in range(queries)}
+    walk = graph.NameGraph(*graph_tables(spark, refs, defs))
+    assert walk.files.count() == walk.files.select("node").distinct().count() == len({a for a, _, _ in edges}) and "ids" in walk.files.columns
+    got = graph.pagerank(walk, spark.createDataFrame([(q, n, s) for q, of in seeds.items() for n, s in of.items()], "query_id int, node string, score double")).collect()
+    walk.release()
+    assert {(r.query_id, r.node): r.ppr for r in got} == pytest.approx({(q, n): p for q, of in seeds.items() for n, p in brute_ppr(edges, of).items()}, abs=1e-5)
+
+
 def test_merge_adjacent(spark):
     rows = [(0, "a", 1, 10, 0.5, 0.2, "p"), (0, "a", 15, 20, 0.1, 0.9, "q"), (0, "a", 26, 30, 0.3, 0.1, "r"), (0, "b", 1, 2, 0.2, 0.3, "s"), (0, "a", 2, 3, 0.6, 0.9, "t")]
     hits = spark.createDataFrame(rows, "query_id int, file_path string, start_line int, end_line int, similarity double, score double, preview string")
