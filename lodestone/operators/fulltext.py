@@ -11,7 +11,7 @@ from pyspark.sql.window import Window as W
 
 from lodestone.functions import fixed as V
 from lodestone.functions import text as T
-from lodestone.functions.stem import stem_arrays, stem_terms
+from lodestone.functions.stem import porter, stem_terms
 from lodestone.plans.storage import small
 
 FIELDS = ("file_path", "chunk_text", "identifiers")
@@ -61,11 +61,40 @@ def postings(chunks: DataFrame, fields=FIELDS, stem: bool = False) -> DataFrame:
     rows = chunks.select("chunk_id", "file_path", F.array(*parts).alias("parts"))
     total = F.aggregate("parts", F.lit(0), lambda n, p: n + F.size(p["terms"]))
     rows = rows.select("chunk_id", "file_path", total.alias("n_terms"), F.explode("parts").alias("p")).select("chunk_id", "file_path", "n_terms", "p.field", "p.terms")
-    if stem:
-        rows = stem_arrays(rows, "terms")
-    rows = rows.select("field", "chunk_id", "file_path", "n_terms", F.posexplode("terms").alias("pos", "term"))
-    rows = rows.groupBy("term", "field", "chunk_id", "file_path", "n_terms").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-    return rows.select("term", "field", "chunk_id", "file_path", "n_terms", "positions")
+    return rows.mapInArrow(_places(stem), POSTING)
+
+
+def _places(stem: bool, rows: int = 65_536):
+    """Arrow batches of (chunk_id, file_path, n_terms, field, terms) to POSTING: a field's places are in one row already, so they are gathered without a shuffle."""
+
+    def task(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute  # noqa: F401
+
+        for batch in batches:
+            lists = batch.column("terms")
+            sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            words = lists.flatten().dictionary_encode()
+            if not len(words):
+                continue
+            names, codes = words.dictionary, words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            if stem:
+                stems = pa.array([porter(t) for t in names.to_pylist()], pa.string()).dictionary_encode()
+                names, codes = stems.dictionary, stems.indices.to_numpy(zero_copy_only=False).astype(np.int64)[codes]
+            place = np.arange(len(codes)) - np.repeat(sizes.cumsum() - sizes, sizes)
+            key = np.repeat(np.arange(len(sizes)), sizes) * len(names) + codes
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            owner, term = np.divmod(key[first], len(names))
+            positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), pa.array(place[order], pa.int32()))
+            fields = [batch.column(c).take(pa.array(owner)) for c in ("field", "chunk_id", "file_path", "n_terms")]
+            out = pa.RecordBatch.from_arrays([names.take(pa.array(term)), *fields, positions], ["term", "field", "chunk_id", "file_path", "n_terms", "positions"])
+            for at in range(0, out.num_rows, rows):
+                yield out.slice(at, rows)
+
+    return task
 
 
 def by_term(rows: DataFrame) -> DataFrame:
@@ -74,10 +103,11 @@ def by_term(rows: DataFrame) -> DataFrame:
 
 
 def write_index(chunks: DataFrame, path: str, fields=FIELDS, stem: bool = False) -> TextIndex:
-    """Tokenize chunks once into postings at ``path``."""
+    """Tokenize chunks once into postings at ``path``; a term has a place for each time it stands in a chunk."""
     by_term(postings(chunks, fields, stem)).write.parquet(f"{path}/postings")
-    n = chunks.select(n_terms(fields).alias("n")).agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    return TextIndex(chunks.sparkSession.read.schema(POSTING).parquet(f"{path}/postings"), n[0], n[1], stem)
+    rows = chunks.sparkSession.read.schema(POSTING).parquet(f"{path}/postings")
+    terms = rows.agg(F.coalesce(F.sum(F.size("positions").cast("long")), F.lit(0))).first()[0]
+    return TextIndex(rows, chunks.count(), terms, stem)
 
 
 def of_terms(index: TextIndex, wanted: DataFrame) -> DataFrame:

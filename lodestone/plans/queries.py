@@ -40,19 +40,24 @@ def doc_files(spark, sf) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", doc_path().alias("file_path"), F.col("text").alias("content"), F.col("n_chars").alias("size"))
 
 
+def doc_texts(spark, sf) -> DataFrame:
+    """Documents as chunks, without vectors: what full text is made of."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), doc_path().alias("file_path"), F.col("text").alias("chunk_text"))
+    return docs.withColumn("identifiers", T.identifiers(F.col("chunk_text")))
+
+
 def doc_chunks(spark, sf) -> DataFrame:
     """Documents as chunks, with the vector of the same number where there is one."""
-    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    docs = table(spark, sf, "documents").select("doc_id", doc_path().alias("file_path"), F.col("text").alias("chunk_text"))
-    rows = docs.join(vectors, "doc_id", "left")
-    return rows.select(F.col("doc_id").alias("chunk_id"), "file_path", "chunk_text", T.identifiers(F.col("chunk_text")).alias("identifiers"), F.lit(1).alias("start_line"), F.size(F.split("chunk_text", "\n")).alias("end_line"), "embedding")
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    rows = doc_texts(spark, sf).join(vectors, "chunk_id", "left")
+    return rows.select("chunk_id", "file_path", "chunk_text", "identifiers", F.lit(1).alias("start_line"), F.size(F.split("chunk_text", "\n")).alias("end_line"), "embedding")
 
 
 def doc_index(spark, sf, stem: bool = False) -> fulltext.TextIndex:
     """The stored full-text index of the documents: path, text and identifiers."""
     key = spark.sparkContext.applicationId, version(spark, f"{sf}/documents.parquet"), stem
     if key not in _INDEXES:
-        _INDEXES[key] = fulltext.write_index(doc_chunks(spark, sf), fresh_dir(spark, "text-index"), stem=stem)
+        _INDEXES[key] = fulltext.write_index(doc_texts(spark, sf), fresh_dir(spark, "text-index"), stem=stem)
     return _INDEXES[key]
 
 

@@ -7,7 +7,7 @@ from lodestone import config as C
 from lodestone.functions import text as T
 from lodestone.functions.globs import glob_regex
 from lodestone.functions.stem import porter
-from lodestone.operators import fusion, graph, stats
+from lodestone.operators import fulltext, fusion, graph, stats
 from lodestone.operators.chunking import chunks, fixed_chunks
 from lodestone.operators.fulltext import normalized
 from lodestone.operators.symbols import definitions, references
@@ -200,6 +200,23 @@ def test_walk_joins_ranks_to_files(spark, queries):
     assert {(r.query_id, r.node): r.ppr for r in got} == pytest.approx({(q, n): p for q, of in seeds.items() for n, p in brute_ppr(edges, of).items()}, abs=1e-5)
 
 
+@pytest.mark.parametrize("stem", [False, True])
+def test_postings_need_no_shuffle(spark, stem):
+    """The places of a chunk's terms are gathered where the chunk is."""
+    texts = {1: "Thing things a thing", 2: "", 3: None, 4: "x été thing " * 3}
+    rows = [(i, f"p/{i}.md", t, "") for i, t in texts.items()]
+    made = fulltext.postings(spark.createDataFrame(rows, "chunk_id long, file_path string, chunk_text string, identifiers string").coalesce(1), stem=stem)
+    assert "Exchange" not in plan(made)
+    want = {}
+    for i, path, t, _ in rows:
+        fields = ["p", str(i), "md"], (t or "").lower().replace("é", "e").split()
+        for f, words in enumerate(fields):
+            for at, w in enumerate(words):
+                want.setdefault((porter(w) if stem else w, f, i, path, sum(map(len, fields))), []).append(at)
+    got = [((r.term, r.field, r.chunk_id, r.file_path, r.n_terms), r.positions) for r in made.collect()]
+    assert dict(got) == want and len(got) == len(want)
+
+
 def test_merge_adjacent(spark):
     rows = [(0, "a", 1, 10, 0.5, 0.2, "p"), (0, "a", 15, 20, 0.1, 0.9, "q"), (0, "a", 26, 30, 0.3, 0.1, "r"), (0, "b", 1, 2, 0.2, 0.3, "s"), (0, "a", 2, 3, 0.6, 0.9, "t")]
     hits = spark.createDataFrame(rows, "query_id int, file_path string, start_line int, end_line int, similarity double, score double, preview string")
